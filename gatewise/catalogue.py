@@ -212,13 +212,16 @@ def minus_union_right(spark, d):
 
 @query(f"""
 WITH l AS (SELECT l_orderkey, product(1 - {P_LINE}) AS none FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey AS "order", l_linenumber, l_partkey, l_suppkey, l_extendedprice, round({P_ORDER} * {P_LINE}, 9) AS probability
+SELECT o_orderkey AS "order", CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS line,
+       round({P_ORDER} * {P_LINE}, 9) AS probability
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, round({P_ORDER} * coalesce(none, 1.0), 9) FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+UNION ALL SELECT o_orderkey, NULL, round({P_ORDER} * coalesce(none, 1.0), 9) FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def optional_match(spark, d):
     """Orders with lines if there are any: each line, and the bare order."""
     left = weighted(spark, d, "orders", {"order": "o_orderkey"}, F.col("o_orderkey"))
-    return rounded(lifted.optional(left, items(spark, d)), "order", *LINE[1:])
+    found = lifted.optional(left, items(spark, d))
+    line = F.concat(*[x for c in LINE[1:4] for x in (F.col(c).cast("string"), F.lit("-"))][:-1])
+    return rounded(found.withColumn("line", line), "order", "line")
 
 
 @query(f"""

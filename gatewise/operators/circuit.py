@@ -172,7 +172,7 @@ def from_ntriples(spark: SparkSession, lines: DataFrame) -> Circuit:
         F.regexp_extract("line", pattern, 3).alias("o"),
     )
     t = settled(t.distinct(), "circuit")
-    bare = lambda c: F.regexp_replace(c, "^<(urn:g:.*)>$", "$1")
+    bare = lambda c: F.regexp_replace(c, "^<([^<>]*)>$", "$1")
     kinds = t.where(F.col("p") == TYPE).select(
         bare(F.col("s")).alias("gate"), F.lower(F.regexp_extract("o", f"^<{NS}(\\w+)>$", 1)).alias("op")
     )

@@ -1,0 +1 @@
+"""Exact probabilistic queries over uncertain facts, on PySpark."""

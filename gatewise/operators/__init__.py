@@ -1,0 +1 @@
+"""Relational, circuit, path and counting operators."""

@@ -71,7 +71,15 @@ def extensional(wires: DataFrame, probs: DataFrame, max_depth: int = 10_000) ->
 
 
 def read_once_probabilities(circuit: Circuit, probs: DataFrame, cones: DataFrame | None = None) -> DataFrame:
-    """``(root, probability)`` of the read-once answers, by aggregation alone."""
+    """``(root, probability)`` of the read-once answers, by aggregation alone.
+
+    If no node of the whole circuit has two users, all answers are read-once
+    and no cone need be built.
+    """
+    if cones is None and circuit.fan_out().where("uses > 1").isEmpty():
+        values = extensional(circuit.wires, probs)
+        roots = circuit.answers.select("root")
+        return values.join(roots, values["gate"] == roots["root"]).select("root", F.col("p").alias("probability"))
     cones = circuit.cones() if cones is None else cones
     roots = read_once_roots(cones)
     values = extensional(cones.join(roots, "root", "left_semi"), probs)

@@ -1,0 +1 @@
+"""No operator of the engine is defined on streams: its queries are over finite sets of facts."""

@@ -20,6 +20,8 @@ from ..shipping import ship
 #: Rows of text handed to a Python worker at once; a batch of documents of
 #: 100 KB each then stays near 25 MB.
 TEXT_ROWS_PER_BATCH = 256
+#: Rows of numbers handed over at once.
+NARROW_ROWS_PER_BATCH = 16_384
 #: A table is broadcast only after its rows were counted and found below this.
 BROADCAST_ROWS = 200_000
 
@@ -53,15 +55,26 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_numbers(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``durable`` for a map over narrow rows, which go to workers in large batches."""
+    df = make()
+    spark = df.sparkSession
+    small_batches(spark, NARROW_ROWS_PER_BATCH)
+    try:
+        return durable(df, label)
+    finally:
+        small_batches(spark)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
     """Bound the memory of Python workers that get whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ of their content.  Of each content that the store lacks, one row is chosen by
 its id; the join that brings its text runs on content *and* id, so a text that
 a third of all rows carry is neither moved to one task nor worked on twice.
 Appends go through Spark's commit protocol: a lost executor leaves no half
-entry, and an entry written twice by a repeated run is read as one.
+entry.  Rows that repeat both id and content are worked on each; entries stored
+twice, by these or by a repeated run, are read as one.
 """
 
 from __future__ import annotations

@@ -9,14 +9,15 @@ Encoding runs in three steps:
 2. *Segmentation.*  No piece of the model holds the space mark after another
    character, nor a line feed besides its byte piece (both are checked when the
    model is loaded), so merges never cross the start of a run of marks or a
-   line feed.  The normalised text is cut there, and each chunk is segmented by
-   the library once and remembered; a batch's unknown chunks go to it together.
+   line feed.  The text is cut there; each chunk is normalised, segmented by the
+   library and projected once, and remembered; a batch's unknown chunks go to
+   the library together.  A chunk's spans are moved to its place in the text.
 3. *Projection.*  Pieces tile the normalised text, so each takes the source
    span from its first byte's start to its last byte's end.  Byte pieces of one
-   character share the character's span.
+   character share the character's span.  Pieces that don't tile it are an error.
 
-If the model breaks an assumption, whole texts are segmented by the library;
-the other steps stay.
+Decoding starts from the ids alone.  If the model breaks an assumption, whole
+texts are normalised, segmented and projected; nothing is remembered then.
 
 Defined results: a null or empty text has no pieces and decodes to the empty
 text; equal rows give equal rows; other columns are ignored.
@@ -31,6 +32,7 @@ import struct
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,46 @@ class Normal:
     ends: list[int]
 
 
+@dataclass
+class Coded:
+    """Pieces, their spans of source bytes in UTF-8, and the text decoded from the pieces."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    decoded: str
+
+
+class Chunks:
+    """Segmented chunks: where each one's pieces lie in the flat arrays, and its source bytes."""
+
+    def __init__(self):
+        self.slots: dict[str, int] = {}
+        self.used = 0
+        self.first, self.count, self.size = (np.zeros(1024, np.int64) for _ in range(3))
+        self.ids, self.starts, self.ends = (np.zeros(4096, np.int32) for _ in range(3))
+
+    def _room(self, names: tuple[str, ...], least: int) -> None:
+        for name in names:
+            old = getattr(self, name)
+            if least > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(least, 2 * len(old)) - len(old), old.dtype)]))
+
+    def add(self, chunks: list[str], coded: list[list[tuple[int, int, int]]]) -> None:
+        at, counts = len(self.slots), [len(c) for c in coded]
+        self._room(("first", "count", "size"), at + len(chunks))
+        self._room(("ids", "starts", "ends"), self.used + sum(counts))
+        here = slice(at, at + len(chunks))
+        self.count[here] = counts
+        self.first[here] = self.used + np.cumsum(counts) - counts
+        self.size[here] = [len(c.encode()) for c in chunks]
+        flat = np.array([x for one in coded for x in one], np.int32).reshape(-1, 3)
+        for k, name in enumerate(("ids", "starts", "ends")):
+            getattr(self, name)[self.used : self.used + len(flat)] = flat[:, k]
+        self.used += len(flat)
+        self.slots.update(zip(chunks, range(at, at + len(chunks))))
+
+
 class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
@@ -117,12 +159,14 @@ class PieceModel:
             and not spec.trainer_spec.treat_whitespace_as_suffix
             and not any(MARK in p.lstrip(MARK) or "\n" in p for p in plain)
         )
-        self.known: dict[str, str] = {}  # chunk: its ids in decimal, comma-joined
+        self.lengths = [1 if i in self.bytes else len(p.encode()) for i, p in enumerate(self.pieces)]
+        self.unknown = self.library.unk_id()
+        self.known = Chunks()
 
     # -- normalisation
 
-    def normalise(self, text: str) -> Normal:
-        """As the library normalises, with the source span of every byte."""
+    def normalise(self, text: str, inside: bool = False) -> Normal:
+        """As the library normalises, with the source span of every byte; no dummy prefix ``inside`` a text."""
         data = text.encode()
         out, starts, ends = bytearray(), [], []
         space = MARK.encode() if self.escape else b" "
@@ -133,6 +177,23 @@ class PieceModel:
             ends.extend([b] * len(piece))
 
         at = 0
+        if not self.map.units and not self.squeeze:  # no key to find: every character but a space is itself
+            if text and self.prefix and not inside:
+                put(space, 0, 0)
+            for k, part in enumerate(text.split(" ")):
+                if k:
+                    put(space, at, at + 1)
+                    at += 1
+                if part.isascii():
+                    out.extend(part.encode())
+                    starts.extend(range(at, at + len(part)))
+                    ends.extend(range(at + 1, at + len(part) + 1))
+                    at += len(part)
+                else:
+                    for char in map(str.encode, part):
+                        put(char, at, at + len(char))
+                        at += len(char)
+            return Normal(bytes(out), starts, ends)
         pending: list[tuple[bytes, int, int]] = []
         while at < len(data):
             hit = self.map.longest(data, at)
@@ -144,7 +205,7 @@ class PieceModel:
                 pending.pop(0)
         if not pending:
             return Normal(b"", [], [])
-        if self.prefix:
+        if self.prefix and not inside:
             put(space, pending[0][1], pending[0][1])
         gap = self.squeeze
         for new, a, b in pending:
@@ -171,59 +232,69 @@ class PieceModel:
         return self._CUT.findall(" " + text)
 
     def learn(self, new: list[str]) -> None:
-        """Segment chunks by the library.  Its own dummy prefix stands for a chunk's first mark, or is dropped."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        """Normalise, segment and project chunks.  The library's dummy prefix stands for a chunk's first mark, or is dropped."""
+        if len(self.known.slots) + len(new) > REMEMBERED:
+            self.known = Chunks()
         marked = [c[0] in " ▁" for c in new]
         coded = self.library.encode([c[1:] if m else c for c, m in zip(new, marked)], num_threads=1)
+        found = []
         for chunk, m, ids in zip(new, marked, coded):
             if chunk in (" ", MARK):  # the library has no pieces for the empty text left of it
                 ids = [self.library.piece_to_id(MARK)]
-            self.known[chunk] = str(ids if m else ids[1:])[1:-1].replace(" ", "")
+            found.append(self.project(self.normalise(chunk, inside=True), ids if m else ids[1:]))
+        self.known.add(new, found)
 
-    def segment(self, chunks: list[str]) -> list[str]:
-        """The ids of each chunk, as written."""
-        found = list(map(self.known.get, chunks))
+    def segment(self, chunks: list[str]) -> np.ndarray:
+        """Where each chunk is remembered."""
+        found = list(map(self.known.slots.get, chunks))
         if None in found:
             self.learn(list({c for c, f in zip(chunks, found) if f is None}))
-            found = list(map(self.known.get, chunks))
+            found = list(map(self.known.slots.get, chunks))
             if None in found:  # the table was emptied
                 self.learn(list(set(chunks)))
-                found = [self.known[c] for c in chunks]
-        return found
-
-    def ids(self, text: str) -> list[int]:
-        if not self.local:
-            return self.library.encode(text)
-        return [int(i) for written in self.segment(self.chunks(text)) for i in written.split(",")] if text else []
+                found = [self.known.slots[c] for c in chunks]
+        return np.array(found, np.int64)
 
     # -- projection
 
-    def encode(self, text: str) -> list[tuple[int, int, int]]:
-        """``(id, start, end)`` with spans of source bytes in UTF-8; together they cover the text in order."""
-        normal, ids, at, out = self.normalise(text), self.ids(text), 0, []
+    def project(self, normal: Normal, ids: list[int]) -> list[tuple[int, int, int]]:
+        """``(id, start, end)``: the source span of each piece."""
+        at, out = 0, []
         for i in ids:
-            n = 1 if i in self.bytes else len(self.pieces[i].encode())
-            if i == self.library.unk_id():
-                n = _width(normal.data[at])
+            n = self.lengths[i] if i != self.unknown else _width(normal.data[at])
             out.append((i, normal.starts[at], normal.ends[at + n - 1]))
             at += n
+        if at != len(normal.data):
+            raise ValueError(f"pieces cover {at} of {len(normal.data)} bytes of the normalised text")
         return out
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, their comma-joined digest, and the digest of the decoded text."""
+    def code(self, text: str) -> Coded:
         if not text:
-            n, written, decoded = 0, "", ""
-        elif self.local:
-            chunks = self.chunks(text)
-            written = ",".join(self.segment(chunks))
-            n = written.count(",") + 1
-            # each chunk decodes to itself with spaces for marks; the first begins with the dummy prefix
-            decoded = "".join(chunks)[1:].replace(MARK, " ")
+            return Coded(*(np.empty(0, np.int32) for _ in range(3)), "")
+        if self.local:
+            slots = self.segment(self.chunks(text))
+            known = self.known
+            counts, sizes = known.count[slots], known.size[slots]
+            before = np.cumsum(counts) - counts
+            at = np.repeat(known.first[slots] - before, counts) + np.arange(int(counts.sum()))
+            shift = np.repeat(np.cumsum(sizes) - sizes - 1, counts)  # the dummy prefix is no byte of the source
+            ids = known.ids[at]
+            starts, ends = np.maximum(known.starts[at] + shift, 0), np.maximum(known.ends[at] + shift, 0)
         else:
-            ids = self.library.encode(text)
-            n, written, decoded = len(ids), ",".join(map(str, ids)), self.library.decode(ids)
-        return n, hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            found = self.project(self.normalise(text), self.library.encode(text))
+            ids, starts, ends = np.array(found, np.int64).reshape(-1, 3).T
+        return Coded(ids, starts, ends, self.decode(ids.tolist()))
+
+    def encode(self, text: str) -> list[tuple[int, int, int]]:
+        """``(id, start, end)`` with spans of source bytes in UTF-8; together they cover the text in order."""
+        coded = self.code(text)
+        return list(zip(coded.ids.tolist(), coded.starts.tolist(), coded.ends.tolist()))
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, their comma-joined digest, and the digest of the decoded text."""
+        coded = self.code(text)
+        written = ",".join(map(str, coded.ids.tolist()))
+        return len(coded.ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(coded.decoded.encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -240,9 +311,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = model(path)
-        coded = [known.encode(t or "") for t in batch.column(1).to_pylist()]
-        columns = [pa.array([[x[k] for x in one] for one in coded], pa.list_(pa.int32())) for k in range(3)]
-        decoded = pa.array([known.decode([x[0] for x in one]) for one in coded], pa.string())
+        coded = [known.code(t or "") for t in batch.column(1).to_pylist()]
+        columns = [pa.array([getattr(c, k) for c in coded], pa.list_(pa.int32())) for k in ("ids", "starts", "ends")]
+        decoded = pa.array([c.decoded for c in coded], pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *columns, decoded], [id_col, "ids", "starts", "ends", "decoded"])
 
     rows = docs.select(id_col, F.col(text_col).alias("_text"))

@@ -240,6 +240,35 @@ def test_op9(docs, none):
     assert pieces.digests(none, path).count() == 0
 
 
+def test_op9_rows_come_from_the_pieces(docs):
+    path = str(P.path("piece_bpe_32k.model"))
+    hashed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    full = {(r["doc_id"], len(r["ids"]), hashed(",".join(map(str, r["ids"]))), hashed(r["decoded"])) for r in pieces.encode(docs, path).collect()}
+    assert {tuple(r) for r in pieces.digests(docs, path).collect()} == full
+    texts = [r[1] for r in rows() if r[1]] + ["▁ ▁\n a\n\n é\t日本▁x ", " ", "\n", "▁"]
+    known = pieces.PieceModel(path)
+    for text in texts:  # the spans of whole texts, without the cuts
+        want = known.project(known.normalise(text), known.library.encode(text))
+        assert known.encode(text) == want and want[-1][2] == len(text.encode())
+    walked = pieces.PieceModel(path)
+    walked.map.units = (0,) * 256  # a map without keys: the walk over the map finds nothing
+    assert all(walked.normalise(text) == known.normalise(text) for text in texts)
+    right = known.library
+
+    class Wrong:
+        def __getattr__(self, name):
+            return getattr(right, name)
+
+        def encode(self, chunks, **more):
+            lengths, plain = known.lengths, [i for i, p in enumerate(known.pieces) if p.isalpha() and p.isascii()]
+            other = lambda i: next(j for j in plain if j != i and lengths[j] == lengths[i])
+            return [[*ids[:-1], other(ids[-1])] for ids in right.encode(chunks, **more)]
+
+    wrong = pieces.PieceModel(path)
+    wrong.library = Wrong()
+    assert wrong.digest("alpha beta")[2] != hashed("alpha beta") == known.digest("alpha beta")[2]
+
+
 def test_op9_character_map():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as formats

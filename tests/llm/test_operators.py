@@ -221,6 +221,24 @@ def test_op8_rare_words_meet_the_table(docs, monkeypatch):
     assert key(language_model.score(docs, model, table)) == whole
 
 
+def test_op8_rare_words_open_restaurants(spark):
+    rare = [f"rare{k}" for k in range(60)]
+    order = [(k * 7 + 3) % 60 for k in range(60)]
+    table = [(i, " ".join(f"{rare[k]} next{order[k]}" for k in range(60)) + " common" * (i % 3)) for i in range(40)]
+    d = spark.createDataFrame(table + [(900, f"rare50 next{order[50]}"), (901, f"rare50 next{order[51]}")], "doc_id long, text string")
+    model, words = language_model.fit(d.where("doc_id < 900"))
+    scores = {r["doc_id"]: r["score"] for r in language_model.score(d, model, words).collect()}
+    assert scores[900] > scores[901] + 1
+    back = {r["u"]: r["back"] for r in model.restaurants.collect()}
+    assert len(back) == 60 + 60 + 2  # every word that something follows, and the start of a text
+    root, own = model.unknown, Counter()
+    for r in words.collect():
+        root += r["p"]
+    for r in model.pairs.collect():
+        own[r["u"]] += r["own"]
+    assert all(own[u] + back[u] * root == pytest.approx(1.0, abs=1e-9) for u in back)
+
+
 def test_op9(docs, none):
     import sentencepiece
 

@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder under /tmp for a local session without one."""
+    """``spark.checkpoint.dir``: a folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints/gatewise"
+    return f"file://{tempfile.gettempdir()}/checkpoints/gatewise"  # one process: the driver is the only executor
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/gatewise-{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def settled(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/gatewise-{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,40 +8,48 @@ workers small, and column expressions several operators need.
 from __future__ import annotations
 
 import string
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import fresh_path, path_exists
 
-#: Rows of text handed to a Python worker at once; a batch of documents of
-#: 100 KB each then stays near 25 MB.
-TEXT_ROWS_PER_BATCH = 256
-#: Rows of numbers handed over at once.
-NARROW_ROWS_PER_BATCH = 16_384
+#: Rows of text handed to a Python worker at once, and their bytes, whichever is reached first.
+TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 256, 16 << 20
 #: A table is broadcast only after its rows were counted and found below this.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share.
-
-    Taken from ``spark.checkpoint.dir``.  Only a local session (tests) may go
-    without; it gets a folder of its own under /tmp.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints/gatewise"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gatewise-{label}-{uuid.uuid4().hex}"
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings with ``values``, as they were afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def bounded(spark: SparkSession):
+    """Settings for a job over whole texts: small batches for Python workers; its shuffles are deleted when it ends."""
+    return settings(
+        spark,
+        {
+            "spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXT_ROWS_PER_BATCH),
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_BYTES_PER_BATCH),
+            "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        },
+    )
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -51,32 +59,11 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    with bounded(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def durable_numbers(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """``durable`` for a map over narrow rows, which go to workers in large batches."""
-    df = make()
-    spark = df.sparkSession
-    small_batches(spark, NARROW_ROWS_PER_BATCH)
-    try:
-        return durable(df, label)
-    finally:
-        small_batches(spark)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Bound the memory of Python workers that get whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -101,8 +88,7 @@ def fold_number(doc_id: Column, folds: int = 5) -> Column:
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` for a function of single batches."""
-    small_batches(df.sparkSession)
+    """``mapInArrow`` for a function of single batches.  Over texts, run it ``bounded``, as ``durable`` does."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -341,4 +341,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(common.documents(spark, sf_dir), str(public_tokenizers.path("piece_bpe_32k.model")))
+    found = digests(common.documents(spark, sf_dir), str(public_tokenizers.path("piece_bpe_32k.model")))
+    return common.durable(found, "pieces")

@@ -187,58 +187,6 @@ def test_op7(spark, docs, none, tmp_path):
     assert counter.count(none).count() == 0
 
 
-def test_op8(spark, docs, none):
-    model, table = language_model.fit(docs)
-    got = {}
-    for r in language_model.score(docs, model, table).collect():
-        got.setdefault(r["doc_id"], r)
-    train = Counter()
-    for r in rows():
-        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1:
-            train.update(language_model.tokens((r[1] or "").encode()))
-    n, v = sum(train.values()), len(train)
-    assert (model.n, model.v) == (n, v)
-    for i, t in ((1, rows()[0][1]), (8, rows()[7][1]), (5, ""), (7, rows()[6][1])):
-        toks = language_model.tokens(t.encode())
-        base = sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks)
-        assert got[i]["base_score"] == pytest.approx(base) and got[i]["n_tokens"] == len(toks)
-        assert got[i]["n_known"] == sum(train[w] > 0 for w in toks)
-    entries = table.collect()
-    root = sum(r["p"] for r in entries) + model.unknown
-    assert root == pytest.approx(1.0, abs=1e-9)
-    for u in range(3):
-        own = sum(o for r in entries for c, o in zip(r["ctx"], r["own"]) if c == u)
-        assert own + model.back[u] * root == pytest.approx(1.0, abs=1e-9)
-    empty, words = language_model.fit(none)
-    assert [r["score"] for r in language_model.score(docs.limit(1), empty, words).collect()] == [0.0]
-
-
-def test_op8_rare_words_meet_the_table(docs, monkeypatch):
-    model, table = language_model.fit(docs)
-    key = lambda df: sorted((repr(r["doc_id"]), round(r["score"], 6), r["n_known"]) for r in df.collect())
-    whole = key(language_model.score(docs, model, table))
-    monkeypatch.setattr(language_model, "FREQUENT", 0)
-    assert key(language_model.score(docs, model, table)) == whole
-
-
-def test_op8_rare_words_open_restaurants(spark):
-    rare = [f"rare{k}" for k in range(60)]
-    order = [(k * 7 + 3) % 60 for k in range(60)]
-    table = [(i, " ".join(f"{rare[k]} next{order[k]}" for k in range(60)) + " common" * (i % 3)) for i in range(40)]
-    d = spark.createDataFrame(table + [(900, f"rare50 next{order[50]}"), (901, f"rare50 next{order[51]}")], "doc_id long, text string")
-    model, words = language_model.fit(d.where("doc_id < 900"))
-    scores = {r["doc_id"]: r["score"] for r in language_model.score(d, model, words).collect()}
-    assert scores[900] > scores[901] + 1
-    back = {r["u"]: r["back"] for r in model.restaurants.collect()}
-    assert len(back) == 60 + 60 + 2  # every word that something follows, and the start of a text
-    root, own = model.unknown, Counter()
-    for r in words.collect():
-        root += r["p"]
-    for r in model.pairs.collect():
-        own[r["u"]] += r["own"]
-    assert all(own[u] + back[u] * root == pytest.approx(1.0, abs=1e-9) for u in back)
-
-
 def test_op9(docs, none):
     import sentencepiece
 

@@ -209,6 +209,6 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
 
 def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    return predict(docs, fit(docs)).select(
+    return common.durable(predict(docs, fit(docs)), "languages").select(
         "doc_id", (common.fold_number(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score"
     )

@@ -1,23 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of letters inside words, one of toxic and one of ordinary labelled
-documents.  Each interpolates its own counts of ``ORDER``-letter sequences
-with absolute discounting, and both back off to the same lower orders: Kneser-
-Ney continuation counts pooled over the classes.  A rare expression is thus
-judged by its stem as far as either class knows the stem, and is neutral
-beyond.  A word that the toxic model does not favour by ``EVIDENCE`` is neutral,
-so that the chance differences of a long text do not add up.  A text's score is
-the difference of the two log-likelihoods so counted, per letter, put on a scale of 0 to 1 by a logistic curve fitted on labelled rows
-that the models did not see.
+Two models of the letters of words, one of toxic and one of ordinary labelled
+documents.  Each interpolates its own counts of ``ORDER``-letter sequences with
+absolute discounting, and both back off to the same lower orders: Kneser-Ney
+continuation counts pooled over the classes.  A rare expression is thus judged
+by its stem as far as either class knows the stem, and alike by both beyond.
+A text's score is the toxic less the ordinary log-likelihood, over all of its
+letters and word ends, divided by their number, and put on a scale of 0 to 1 by
+a logistic curve.
+
+Learning: a document counts each of its words once, so that repetitions and
+long texts don't outweigh others, and texts that repeat are learned from once.
+Order, discount and sample sizes were chosen by, and the curve is fitted on,
+labelled rows of the fold ``CALIBRATION``, which the models did not see; rows
+of the fold ``HELD_OUT`` had no part in either.
 
 Bounded sample: at most about ``PER_CLASS`` labelled rows of each class
 (chosen by a hash of the id) are used for fitting; every text is scored whole.
-The fitted model goes to the workers as a broadcast of that bounded size.
+What comes to the driver, and goes to the workers as a broadcast, is the counts
+of distinct sequences of ``ORDER`` letters in those rows.
 
 Defined results: a null or empty text has difference 0; without labelled rows
 of both classes every score is 0.5 times the share of toxic labels plus 0.25;
 equal rows give equal rows; labels that are null, neither 0 nor 1, or of a row
-held out are not used; other columns are ignored.
+held out are not used; a null id takes part as the empty text in the choice of
+folds; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +40,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 5
-PER_CLASS = 2_500
+ORDER = 4
+PER_CLASS = 12_000
 HELD_OUT, CALIBRATION = 0, 4
-DISCOUNT = 0.95
-EVIDENCE = math.log(8)
+DISCOUNT = 0.75
 LETTERS = 512  #: of the uniform base
 REMEMBERED = 400_000
 BEGIN, END = "\x02", "\x03"
@@ -47,21 +53,21 @@ def split(text: str) -> list[str]:
     return text.lower().split()
 
 
+def grams(word: str) -> list[str]:
+    """What a word is a sequence of: each of its letters, and its end, after the letters before it."""
+    line = BEGIN + word + END
+    return [line[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(line))]
+
+
 class KneserNey:
     """Both class models and their shared lower orders."""
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
-        """``counts``: word -> times in (ordinary, toxic) rows."""
-        own = (Counter(), Counter())
+        """``counts``: sequence of letters, as ``grams`` gives them -> times in (ordinary, toxic) rows."""
+        own = tuple(Counter({g: n[c] for g, n in counts.items() if n[c]}) for c in (0, 1))
         kinds: list[set[str]] = [set() for _ in range(ORDER + 1)]
-        for word, n in counts.items():
-            line = BEGIN + word + END
-            for i in range(1, len(line)):
-                gram = line[max(0, i - ORDER + 1) : i + 1]
-                for c in (0, 1):
-                    if n[c]:
-                        own[c][gram] += n[c]
-                kinds[len(gram)].add(gram)
+        for gram in counts:
+            kinds[len(gram)].add(gram)
         # a sequence of k letters that starts a word stands for itself; others continue one of k + 1
         below: list[Counter] = [Counter() for _ in range(ORDER)]
         for k in range(ORDER, 1, -1):
@@ -78,11 +84,11 @@ class KneserNey:
         self._ready()
 
     def _ready(self) -> None:
-        self.grams: dict[str, float] = {}
+        self.known: dict[str, float] = {}
         self.words: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("grams", "words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "words")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -127,16 +133,15 @@ class KneserNey:
         return logs[1] - logs[0]
 
     def of_word(self, word: str) -> float:
-        line, total, grams = BEGIN + word + END, 0.0, self.grams
-        for i in range(1, len(line)):
-            gram = line[max(0, i - ORDER + 1) : i + 1]
-            d = grams.get(gram)
+        total, known = 0.0, self.known
+        for gram in grams(word):
+            d = known.get(gram)
             if d is None:
-                if len(grams) > 2 * REMEMBERED:
-                    grams.clear()
-                d = grams[gram] = self.of_gram(gram)
+                if len(known) > 2 * REMEMBERED:
+                    known.clear()
+                d = known[gram] = self.of_gram(gram)
             total += d
-        return total if total >= EVIDENCE else 0.0
+        return total
 
     def difference(self, text: str | None) -> float:
         """Toxic minus ordinary log-likelihood, per letter (word ends count as one)."""
@@ -194,21 +199,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Knese
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut * (1 << 20)).distinct()
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = common.durable(rows, "labelled")
-    n = lambda c: F.count(F.when(F.col("toxic") == c, 1))
-    words = (
-        rows.where(fold != CALIBRATION)
-        .select("toxic", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-        .where("word <> ''")
-        .groupBy("word").agg(n(0).alias("ordinary"), n(1).alias("toxic"))
-    )
-    frame = words.toPandas()
-    model = KneserNey(dict(zip(frame["word"], zip(frame["ordinary"].tolist(), frame["toxic"].tolist()))))
-    del frame
-    check = _differences(rows.where(fold == CALIBRATION).select("toxic", "text"), model).toPandas()
+    learned = rows.where(fold != CALIBRATION).dropDuplicates(["toxic", "text"]).select("toxic", "text")
+    counts = common.durable(_count(learned), "grams").toArrow()
+    columns = (counts.column(c).to_pylist() for c in ("gram", "ordinary", "bad"))
+    model = KneserNey({g: (o, t) for g, o, t in zip(*columns)})
+    check = common.durable(_differences(rows.where(fold == CALIBRATION).select("toxic", "text"), model), "differences").toPandas()
     model.shift, model.slope = calibrate(check["value"].tolist(), check["toxic"].tolist())
     return model
 
 
+def _count(rows: DataFrame) -> DataFrame:
+    """``(gram, ordinary, bad)``: words of either class with the sequence, each document's words once."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = (Counter(), Counter())
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words[label].update(set(split(text)))
+        found = (Counter(), Counter())
+        for c in (0, 1):
+            for word, n in words[c].items():
+                for gram in grams(word):
+                    found[c][gram] += n
+        every = list(found[0] | found[1])
+        columns = [pa.array(every, pa.string()), *(pa.array([f[g] for g in every], pa.int64()) for f in found)]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "ordinary", "bad"])
+
+    made = common.map_batches(rows, run, "gram string, ordinary long, bad long")
+    return made.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("bad").alias("bad"))
+
+
 def _differences(rows: DataFrame, model: KneserNey) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -237,7 +256,7 @@ def score(docs: DataFrame, model: KneserNey | float, id_col: str = "doc_id", tex
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select(
+    return common.durable(score(docs, model), "toxicity").select(
         "doc_id",
         (common.fold_number(F.col("doc_id")) == HELD_OUT).alias("held_out"),
         "score",

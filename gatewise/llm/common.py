@@ -73,6 +73,36 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with more rows than this is dealt to several tasks, if no more than ``HOT_KEYS`` keys can have so many.
+HOT_ROWS, HOT_KEYS = 1_000, 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column) -> DataFrame:
+    """``left`` with the columns of ``right``, which has each ``key`` once; rows of ``left`` without a match go.
+
+    Frequent keys are dealt out by a hash of ``by``.  Fewer than ``HOT_KEYS`` keys can have more than the total divided
+    by that number, so their counts may be broadcast whatever the size of the tables.
+    """
+    most = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    hot = durable(hot.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(few, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copies = right.join(few, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """A column name like ``wanted`` that ``names`` does not have in any case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII texts take Spark's fast ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

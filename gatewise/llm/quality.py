@@ -2,8 +2,9 @@
 
 One pass in Arrow batches takes the statistics of each text and the hashes of
 its normalised lines; what follows works on that narrow table.  A line is
-frequent on its host (``source``) if more than ``max_docs`` documents and more
-than ``max_share`` of the host's documents hold it.  Frequent lines are removed
+frequent on its host (``source``) if more than ``max_docs`` documents hold it, or
+more than ``max_long_docs`` if it has ``LONG_LINE`` words: such a passage hardly
+occurs twice by chance.  The limits don't grow with the host.  Frequent lines are removed
 everywhere but in the document with the smallest id that holds them on that
 host, so that the content itself stays in the corpus once.  A document is
 depleted, and rejected, if fewer than ``min_left`` of its words remain.
@@ -37,7 +38,7 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 MAX_DOCS = 20
-MAX_SHARE = 0.05
+LONG_LINE, MAX_LONG_DOCS = 50, 1
 MIN_LEFT = 0.3
 LINE_SEED = 42  #: that of Spark's xxhash64, so that either side can name a line
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -75,13 +76,13 @@ def normal_line(line: bytes) -> bytes:
 
 
 def describe(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line hashes, words of those lines in all."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and by hash of a line its words in all and in one."""
     text = text or ""
     raw = text.encode()
     words = raw.split()
     seen: set[bytes] = set()
     duplicates = 0
-    lines: dict[int, int] = {}
+    lines: dict[int, tuple[int, int]] = {}
     for line in raw.split(b"\n"):
         n = len(line.split())
         if not n:
@@ -91,7 +92,7 @@ def describe(text: str | None) -> tuple:
         else:
             seen.add(line)
         key = xxhash.xxh64_intdigest(normal_line(line), LINE_SEED)
-        lines[key] = lines.get(key, 0) + n
+        lines[key] = (lines[key][0] + n if key in lines else n, n)
     return (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
@@ -102,11 +103,13 @@ def describe(text: str | None) -> tuple:
     )
 
 
+#: Of each distinct line: hash, words in all its repeats, words in one.
+LINES = ("line", "line_words", "line_size")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, the five statistics, ``line`` (hashes) and ``line_words``, for every row."""
+    """Columns ``keep``, the five statistics and the lists ``LINES``, for every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [describe(t) for t in batch.column(len(keep)).to_pylist()]
@@ -114,19 +117,20 @@ def statistics(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
         columns = [batch.column(k) for k in range(len(keep))]
         columns += [pa.array([f[k] for f in found], pa.int64()) for k in range(5)]
         hashes = [np.fromiter(x.keys(), np.uint64, len(x)).view(np.int64) for x in lines]
-        columns += [pa.array(hashes, pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, [*keep, *STATS, "line", "line_words"])
+        columns.append(pa.array(hashes, pa.list_(pa.int64())))
+        columns += [pa.array([[v[k] for v in x.values()] for x in lines], pa.list_(pa.int64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, [*keep, *STATS, *LINES])
 
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     stats = ", ".join(f"{c} long" for c in STATS)
-    return common.map_batches(rows, run, f"{kept}, {stats}, line array<bigint>, line_words array<bigint>")
+    return common.map_batches(rows, run, f"{kept}, {stats}, {', '.join(f'{c} array<bigint>' for c in LINES)}")
 
 
 def judge(
     described: DataFrame,
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
+    max_long_docs: int = MAX_LONG_DOCS,
     min_left: float = MIN_LEFT,
 ) -> tuple[DataFrame, DataFrame]:
     """From a written table of ``_row, id, host`` and statistics: verdicts by row, and frequent lines.
@@ -136,15 +140,12 @@ def judge(
     """
     host = F.xxhash64("host")
     lines = described.select(
-        "_row", "id", host.alias("host_key"), F.explode(F.arrays_zip("line", "line_words")).alias("l")
+        "_row", "id", host.alias("host_key"), F.explode(F.arrays_zip(*LINES)).alias("l")
     ).select("_row", "id", "host_key", "l.*")
-    hosts = described.groupBy(host.alias("host_key")).agg(F.count("*").alias("host_docs"))
     frequent = (
         lines.groupBy("host_key", "line")
-        .agg(F.count("*").alias("n_docs"), F.min("id").alias("first_id"))
-        .where(F.col("n_docs") > max_docs)
-        .join(hosts, "host_key")
-        .where(F.col("n_docs") > max_share * F.col("host_docs"))
+        .agg(F.count("*").alias("n_docs"), F.min("id").alias("first_id"), F.max("line_size").alias("size"))
+        .where((F.col("n_docs") > max_docs) | (F.col("size") >= LONG_LINE) & (F.col("n_docs") > max_long_docs))
         .select("host_key", "line", "n_docs", "first_id")
     )
     frequent = common.durable(frequent, "frequent-lines")
@@ -157,7 +158,7 @@ def judge(
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     verdict = (
-        described.drop("line", "line_words")
+        described.drop(*LINES)
         .join(removed, "_row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
         .withColumn("base_failed", failed)
@@ -184,38 +185,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without the lines removed from them.
 
-    ``n_chars`` follows the text where lines were removed.
+    ``n_chars`` follows the text where lines were removed.  A null or empty text goes; a null host is one host; of rows
+    that repeat an id, the lines of all with the smallest id stay; other columns are kept whatever their names; without
+    rows the result has none.
     """
     names = docs.columns
-    numbered = common.durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select("_row", F.col("doc_id").alias("id"), F.col("source").alias("host"), "text")
+    row, gone, new = (common.unused(names, n) for n in ("_row", "_gone", "_new"))
+    numbered = common.durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(row).alias("_row"), F.col("doc_id").alias("id"), F.col("source").alias("host"), "text")
     table = common.durable(statistics(rows, ("_row", "id", "host")), "statistics")
     verdict, frequent = judge(table)
     good = verdict.where("kept").select("_row", "removed_words")
     lines = table.select("_row", "id", F.xxhash64("host").alias("host_key"), F.explode("line").alias("line"))
     # Which lines of which rows go; only rows that are kept and lose something appear.
-    gone = (
+    lost = (
         lines.join(common.if_small(frequent), ["host_key", "line"])
         .where(~F.col("id").eqNullSafe(F.col("first_id")))
         .join(good.where("removed_words > 0").select("_row"), "_row", "left_semi")
         .groupBy("_row")
         .agg(F.collect_set("line").alias("gone"))
     )
-    plan = good.join(gone, "_row", "left").select(F.col("_row").alias("_r"), "gone").hint("shuffle_hash")
-    joined = numbered.join(plan, F.col("_row") == F.col("_r"))
+    plan = good.join(lost, "_row", "left").select(F.col("_row").alias(row), F.col("gone").alias(gone))
+    joined = numbered.join(plan.hint("shuffle_hash"), row)
 
     def stays(line):
         lowered = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
         normal = F.array_join(F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), ""), " ")
-        return (normal == "") | ~F.array_contains("gone", F.xxhash64(normal))
+        return (normal == "") | ~F.array_contains(gone, F.xxhash64(normal))
 
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
     )
-    out = joined.withColumn("_new", text)
+    out = joined.withColumn(new, text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.char_length("_new").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_new")).select(*names)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.char_length(new).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(new)).select(*[f"`{n}`" for n in names])
 
 
 ORACLE = """
@@ -232,9 +236,8 @@ l1 AS (SELECT rid, doc_id, source, line, len(w) AS n,
               translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k
        FROM l WHERE len(w) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l1 GROUP BY rid),
-f AS (SELECT source, k, min(doc_id) AS first_id, count(DISTINCT rid) AS n FROM l1 GROUP BY source, k),
-h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-bad AS (SELECT f.source, k, first_id FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 20 AND f.n > 0.05 * docs),
+f AS (SELECT source, k, min(doc_id) AS first_id, count(DISTINCT rid) AS docs, max(n) AS size FROM l1 GROUP BY source, k),
+bad AS (SELECT source, k, first_id FROM f WHERE docs > 20 OR size >= 50 AND docs > 1),
 rem AS (SELECT rid, sum(l1.n) AS n FROM l1 JOIN bad ON l1.source IS NOT DISTINCT FROM bad.source AND l1.k = bad.k
         WHERE doc_id IS DISTINCT FROM first_id GROUP BY rid),
 s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,

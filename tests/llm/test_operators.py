@@ -265,13 +265,14 @@ def test_op10(spark, docs, none):
         assert (got[r[0]]["n_words"], got[r[0]]["n_repeat_words"]) == (len(w), len(hit))
         assert got[r[0]]["word_chars"] == sum(len(x.decode()) for x in w)
     assert got[11]["n_dup_lines"] == 1 and got[12]["base_failed"] and got[8]["kept"]
-    verdict, frequent = quality.judge(found, max_docs=2, max_share=0.01)
+    verdict, frequent = quality.judge(found, max_docs=2)
     assert frequent.count() == 1  # the line of rows 1, 2 and 1 again
     kept = {(r["id"], r["kept"]) for r in verdict.collect() if r["id"] in (1, 2)}
     assert kept == {(1, True), (2, False)}
     assert quality.judge(quality.described(none))[0].count() == 0
     good = quality.keep_good(docs)
-    assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {1, 2, 3, 8}
+    # the line of 60 words that rows 1, 2 and 1 again have stays where the smallest id has it
+    assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {1, 3, 8}
 
 
 def test_op3_op4_learn(spark, none):
@@ -308,7 +309,7 @@ def test_pipeline(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = {"quality_rules": {1, 2, 3, 8}, "near_duplicates": {1, 8}, "decontamination": {1, 8}, "secrets": {1, 8}}
+    kept = {"quality_rules": {1, 3, 8}, "near_duplicates": {1, 8}, "decontamination": {1, 8}, "secrets": {1, 8}}
     got = table
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = common.durable(stage(spark, got, str(tmp_path)), name)

@@ -25,6 +25,11 @@ def digest(content: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256))
 
 
+def folder(spark: SparkSession, setting: str, label: str) -> str:
+    """The store's folder that the session names in ``setting``; without one, a new store."""
+    return spark.conf.get(setting, None) or common.fresh_path(spark, label)
+
+
 class ContentStore:
     def __init__(self, spark: SparkSession, path: str, results: str, version: str):
         """``results``: DDL of the result columns.  ``version``: names rules or tokenizer."""
@@ -56,11 +61,12 @@ class ContentStore:
         ).select("content", "text")
         done = work(todo).withColumn("version", F.lit(self.version))
         order = [c.split()[0] for c in self.schema.split(", ")[:2]]
-        done.select(*order, *[c for c in done.columns if c not in order]).write.mode("append").parquet(self.path)
+        with common.bounded(self.spark):
+            done.select(*order, *[c for c in done.columns if c not in order]).write.mode("append").parquet(self.path)
         return keys
 
     def attach(self, keys: DataFrame) -> DataFrame:
         """Results for every row of ``keys(id, content)``."""
         others = [c for c in self.entries().columns if c not in ("content", "version")]
         once = self.entries().groupBy("content").agg(*[F.first(c).alias(c) for c in others])
-        return keys.join(once, "content")
+        return common.spread_join(keys, once, "content", F.col("id"))

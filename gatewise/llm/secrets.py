@@ -16,13 +16,14 @@ the end is exclusive.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .content_store import ContentStore
+from .content_store import ContentStore, digest, folder
 
 
 @dataclass(frozen=True)
@@ -52,10 +53,23 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, "eyJ"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27, "-----BEGIN "),
+    # the header, and the body and footer if they follow
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\x20\x09-\x0D-]*?-----END [A-Z ]*PRIVATE KEY-----)?",
+        0, 27, "-----BEGIN ",
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "2024-1"
+#: Names the folder of the blob ledger; unset, every run has a new one.
+LEDGER = "spark.gatewise.ledger"
+
+
+def rules_version(rules: tuple[Rule, ...]) -> str:
+    """Names what the rules find, so that other rules are never served these findings."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -104,9 +118,9 @@ def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 class BlobLedger:
     """Scans of contents under one version of the rules, kept in ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION):
+    def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.store = ContentStore(spark, path, f"spans {SPANS}", version)
+        self.store = ContentStore(spark, path, f"spans {SPANS}", rules_version(rules))
 
     def _scan(self, blobs: DataFrame) -> DataFrame:
         return blobs.select("content", find_spans(F.col("text"), self.rules).alias("spans"))
@@ -123,7 +137,7 @@ def listed(spans: Column) -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = BlobLedger(spark, common.fresh_path(spark, "ledger")).scan(common.documents(spark, sf_dir))
+    found = BlobLedger(spark, folder(spark, LEDGER, "ledger")).scan(common.documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     return found.select(
@@ -159,9 +173,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Findings are joined to the texts on content and id, so one content under
     many ids does not meet in one task.
     """
-    from .content_store import digest
-
-    found = BlobLedger(docs.sparkSession, common.fresh_path(docs.sparkSession, "ledger")).scan(docs)
+    found = BlobLedger(docs.sparkSession, folder(docs.sparkSession, LEDGER, "ledger")).scan(docs)
     hits = found.where(F.size("spans") > 0).distinct().select(
         F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("spans").alias("_spans")
     )

@@ -148,13 +148,8 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, bucket_rows: in
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of an edge; the root is the least node of its component."""
-    edges = common.durable(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")), "edges")
+    edges = common.durable(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
 
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("v", "m") % 1_000_003)).first()
-        return tuple(row)
-
-    before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
@@ -169,11 +164,9 @@ def components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.*")
-        edges = common.durable(small.where("v <> m").distinct(), "edges")
-        now = mark(edges)
-        if now == before:
+        before, edges = edges, common.durable(small.where("v <> m").distinct(), "edges")
+        if edges.count() == before.count() and edges.join(before, ["v", "m"], "left_anti").isEmpty():
             break
-        before = now
     roots = edges.select("v", F.col("m").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "node")
 
@@ -185,8 +178,9 @@ def component_of(marked: DataFrame, id_col: str = "doc_id", distance: int = DIST
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
+    rooted = common.durable(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return common.spread_join(rooted, least, "root", F.col("fp")).select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -195,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints"
     )
     named = component_of(marked, "doc_id", distance)
-    return marked.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    return common.spread_join(marked, named, "fp", F.col("doc_id")).select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,17 +198,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest id, the first written of equal ids."""
+    """One row of each component, whole: the one with the smallest id, the first written of equal ids.
+
+    Texts that are null or empty are one component; of a component without an id any one row stays.  Other columns are
+    kept whatever their names; without rows the result has none.
+    """
     names = docs.columns
-    numbered = common.durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row = common.unused(names, "_row")
+    numbered = common.durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     marked = common.durable(
-        fingerprints(numbered.select("_row", "doc_id", "text"), keep=("_row", "doc_id")), "fingerprints"
+        fingerprints(numbered.select(F.col(row).alias("row"), "doc_id", "text"), keep=("row", "doc_id")), "fingerprints"
     )
-    named = component_of(marked)
     chosen = (
-        marked.join(named, "fp")
+        common.spread_join(marked, component_of(marked), "fp", F.col("row"))
         .groupBy("component_id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-        .select(F.col("first._row").alias("_row"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+        .select(F.col("first.row").alias(row))
     )
-    return numbered.join(chosen.hint("shuffle_hash"), "_row", "left_semi").select(*names)
+    return numbered.join(chosen.hint("shuffle_hash"), row, "left_semi").select(*[f"`{n}`" for n in names])

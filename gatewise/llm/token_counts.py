@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .content_store import ContentStore
+from .content_store import ContentStore, folder
 
 LIMIT = 1024
+#: Names the folder of the digest cache; unset, every run has a new one.
+CACHE = "spark.gatewise.counts"
 # The pre-tokenisation pattern that byte-level BPE of this family is defined by.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ASCII but for rare controls, Latin letters with accents, common punctuation.
@@ -47,6 +49,21 @@ def _byte_letters() -> dict[str, int]:
     return letters
 
 
+def _ranked(model: dict, special: list[str]) -> bool:
+    """Whether pieces are numbered in the order of the merges that make them, so that ids can stand for ranks."""
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    vocabulary = model["vocab"]
+    made = ["".join(p) for p in pairs]
+    whole = sorted((i, p) for p, i in vocabulary.items() if p not in special)
+    letters = len(whole) - len(made)
+    return (
+        model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and [p for _, p in whole[letters:]] == made
+        and all(len(p) == 1 for _, p in whole[:letters])
+    )
+
+
 @lru_cache(maxsize=2)
 def counter(path: str):
     """A function from text to the number of its tokens, for one worker."""
@@ -62,7 +79,9 @@ def counter(path: str):
     plain = (
         described["pre_tokenizer"].get("type") == "ByteLevel"
         and described["normalizer"] is None
+        and described["pre_tokenizer"].get("use_regex", True)
         and not described["pre_tokenizer"].get("add_prefix_space")
+        and _ranked(described["model"], special)
         and not any(t[k] for t in described["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
     )
     fast = None
@@ -126,6 +145,6 @@ class TokenCounter:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokens = TokenCounter(spark, str(public_tokenizers.path("byte_bpe_50k.json")), common.fresh_path(spark, "counts"))
+    tokens = TokenCounter(spark, str(public_tokenizers.path("byte_bpe_50k.json")), folder(spark, CACHE, "counts"))
     found = tokens.count(common.documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

@@ -10,7 +10,7 @@ from gatewise import catalogue
 
 NAMES = (
     "recon", "bgp_q3", "bgp_q5", "bgp_q9", "bgp_q10", "star", "hierarchy", "minus_guarded", "optional_match",
-    "gates_times", "edges_recon", "union_shared",
+    "gates_times", "edges_recon", "union_shared", "recon_circuit", "text_recon_flat", "text_recon_factored", "text_q3", "text_minus",
 )
 
 

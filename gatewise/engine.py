@@ -30,16 +30,19 @@ class Config:
 
 
 class Engine:
-    """Over ``facts(token, s, p, o)``; see ``sources`` for ways to get them."""
+    """Over ``facts(token, s, p, o)``; see ``sources`` for ways to get them.  Facts with blank nodes are refused."""
 
     def __init__(self, facts: DataFrame, config: Config = Config()):
-        self.facts, self.config = facts, config
+        self.facts, self.config, self._checked = facts, config, False
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, scheme: str, config: Config = Config()) -> Engine:
         return cls(reification.facts(formats.load(spark, path), scheme), config)
 
     def planner(self) -> Planner:
+        if not self._checked:
+            formats.refuse_blank_nodes(self.facts.select("s", "p", "o"))
+            self._checked = True
         c = self.config
         return Planner(self.facts, c.mode, c.unbound_paths, c.restrict, c.settle)
 

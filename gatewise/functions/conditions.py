@@ -6,6 +6,8 @@ stays only if the condition is true.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ BOOLEAN = terms.XSD + "boolean"
 DATE_TIME = terms.XSD + "dateTime"
 
 
+def _once(function, args: list, env: dict[str, Column]) -> Column:
+    """``function`` of the arguments' terms; what is computed is computed once, however often the function reads it."""
+    found = [value(a, env) for a in args]
+    if not any(isinstance(a, Condition) for a in args):
+        return function(*found)
+    named = F.struct(*[c.alias(f"a{k}") for k, c in enumerate(found)])
+    return F.get(F.transform(F.array(named), lambda r: function(*[r[f"a{k}"] for k in range(len(found))])), 0)
+
+
 def truth(c, env: dict[str, Column]) -> Column:
     """The effective boolean value."""
     if isinstance(c, Condition):
@@ -28,10 +39,13 @@ def truth(c, env: dict[str, Column]) -> Column:
         if c.op == "BOUND":
             return value(c.args[0], env).isNotNull()
         if c.op in ("=", "!=", "<", "<=", ">", ">="):
-            return compare(c.op, value(c.args[0], env), value(c.args[1], env))
+            return _once(partial(compare, c.op), c.args, env)
         if c.op in _TESTS:
-            return _TESTS[c.op](*[value(a, env) for a in c.args])
-    v = value(c, env)
+            return _once(_TESTS[c.op], c.args, env)
+    return _once(_effective, [c], env)
+
+
+def _effective(v: Column) -> Column:
     number = terms.lex(v).try_cast("double")
     return (
         F.when(terms.datatype(v) == BOOLEAN, terms.lex(v).isin("true", "1"))
@@ -47,14 +61,13 @@ def value(c, env: dict[str, Column]) -> Column:
     if isinstance(c, str):
         return F.lit(c)
     if c.op in ("+", "-", "*", "/"):
-        return _arithmetic(c.op, *[value(a, env) for a in c.args])
+        return _once(partial(_arithmetic, c.op), c.args, env)
     if c.op == "STR":
-        v = value(c.args[0], env)
-        return F.when(~v.startswith("_:"), _string(terms.lex(v)))
+        return _once(lambda v: F.when(~v.startswith("_:"), _string(terms.lex(v))), c.args, env)
     if c.op == "LANG":
-        return _string(terms.lang(value(c.args[0], env)))
+        return _once(lambda v: _string(terms.lang(v)), c.args, env)
     if c.op == "DATATYPE":
-        return F.concat(F.lit("<"), terms.datatype(value(c.args[0], env)), F.lit(">"))
+        return _once(lambda v: F.concat(F.lit("<"), terms.datatype(v), F.lit(">")), c.args, env)
     if c.op in ("&&", "||", "!", "BOUND", "=", "!=", "<", "<=", ">", ">=", *_TESTS):
         return F.concat(F.lit('"'), truth(c, env).cast("string"), F.lit(f'"^^<{BOOLEAN}>'))
     raise UnsupportedFeature(f"the function {c.op}")
@@ -64,6 +77,26 @@ def _string(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit(f'"^^<{terms.STRING}>'))
 
 
+FLOATING = [terms.XSD + "double", terms.XSD + "float"]
+#: Digits before and after the point that decimals are compared with, and multiplied with.
+WIDE, HALF = "decimal(38,18)", "decimal(19,9)"
+
+
+def _numbers(a: Column, b: Column, apply) -> Column:
+    """``apply`` on two numbers: exactly for integers up to 38 digits and decimals that fit, as doubles otherwise."""
+    x, y = terms.lex(a), terms.lex(b)
+    floating = terms.datatype(a).isin(FLOATING) | terms.datatype(b).isin(FLOATING)
+    whole = ~terms.datatype(a).isin(terms.XSD + "decimal") & ~terms.datatype(b).isin(terms.XSD + "decimal")
+    cast = lambda kind: (x.try_cast(kind), y.try_cast(kind))
+    fits = lambda kind: cast(kind)[0].isNotNull() & cast(kind)[1].isNotNull()
+    return (
+        F.when(floating, apply(*cast("double")))
+        .when(whole & fits("decimal(38,0)"), apply(*cast("decimal(38,0)")))
+        .when(fits(WIDE), apply(*cast(WIDE)))
+        .otherwise(apply(*cast("double")))
+    )
+
+
 def compare(op: str, a: Column, b: Column) -> Column:
     apply = {
         "=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y,
@@ -74,7 +107,7 @@ def compare(op: str, a: Column, b: Column) -> Column:
     both = lambda kind: (kinds[0] == kind) & (kinds[1] == kind)
     when = lambda c: F.coalesce(c.try_cast("timestamp"))
     out = (
-        F.when(terms.is_numeric(a) & terms.is_numeric(b), apply(x.try_cast("double"), y.try_cast("double")))
+        F.when(terms.is_numeric(a) & terms.is_numeric(b), _numbers(a, b, apply))
         .when(both(terms.STRING), apply(x, y))
         .when(both(BOOLEAN), apply(x.isin("true", "1").cast("int"), y.isin("true", "1").cast("int")))
         .when(both(DATE_TIME) & when(x).isNotNull() & when(y).isNotNull(), apply(when(x), when(y)))
@@ -91,15 +124,25 @@ def compare(op: str, a: Column, b: Column) -> Column:
 
 
 def _arithmetic(op: str, a: Column, b: Column) -> Column:
+    """Integers and decimals exactly where they fit, an overflow of integers is an error; a quotient has 18 decimals."""
     numbers = terms.is_numeric(a) & terms.is_numeric(b)
-    x, y = terms.lex(a).try_cast("double"), terms.lex(b).try_cast("double")
-    floating = [terms.XSD + "double", terms.XSD + "float"]
-    fixed = [terms.XSD + "decimal"]
     any_of = lambda kinds: terms.datatype(a).isin(kinds) | terms.datatype(b).isin(kinds)
-    result = {"+": x + y, "-": x - y, "*": x * y, "/": F.when(y != 0, x / F.when(y != 0, y))}[op]
-    whole = F.lit(op != "/") & ~any_of(floating) & ~any_of(fixed)
-    kind = F.when(any_of(floating), "double").when(whole, "integer").otherwise("decimal")
-    text = F.when(whole, result.cast("decimal(38,0)").cast("string")).otherwise(result.cast("string"))
+    floating, fixed = any_of(FLOATING), any_of([terms.XSD + "decimal"])
+    apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+    cast = lambda c, kind: terms.lex(c).try_cast(kind)
+    double = apply(cast(a, "double"), cast(b, "double"))
+    narrow = {"+": WIDE, "-": WIDE, "*": HALF, "/": "decimal(20,0)"}[op]
+    exact = apply(cast(a, narrow), cast(b, narrow)).try_cast(WIDE)
+    if op == "/":  # of whole numbers; decimals by doubles
+        exact = F.when(~fixed, apply(cast(a, narrow).cast(WIDE), cast(b, narrow)).try_cast(WIDE))
+    if op == "*":  # nine digits behind the point each, if no digit is lost
+        exact = F.when((cast(a, HALF) == cast(a, WIDE)) & (cast(b, HALF) == cast(b, WIDE)), exact)
+    point = lambda c: F.regexp_replace(c.cast("string"), r"(\.\d+?)0+$", "$1")
+    plain = point(F.coalesce(exact, F.when(double.isNotNull(), double.try_cast(WIDE))))
+    whole = F.lit(op != "/") & ~floating & ~fixed
+    kind = F.when(floating, "double").when(whole, "integer").otherwise("decimal")
+    integer = apply(cast(a, "decimal(38,0)"), cast(b, "decimal(38,0)")).try_cast("decimal(38,0)").cast("string")
+    text = F.when(whole, integer).when(floating, double.cast("string")).otherwise(plain)
     return F.when(numbers, F.concat(F.lit('"'), text, F.lit(f'"^^<{terms.XSD}'), kind, F.lit(">")))
 
 

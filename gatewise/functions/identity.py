@@ -35,7 +35,7 @@ def sha_column(c: Column) -> Column:
 
 
 def term_hash(label: str, c: Column) -> Column:
-    """Hash of one binding; tells unbound, IRIs, blank nodes, typed and tagged literals and quoted triples apart."""
+    """Hash of one binding, by the variable's name as written; tells unbound, IRIs, blank nodes, typed and tagged literals and quoted triples apart."""
     text = sha_column(terms.lex(c))
     coded = (
         F.when(c.isNull(), F.lit("u"))
@@ -44,7 +44,7 @@ def term_hash(label: str, c: Column) -> Column:
         .when(c.startswith("_:"), F.concat(F.lit("b"), text))
         .otherwise(F.concat(F.lit("l"), text, sha_column(terms.datatype(c)), sha_column(terms.lang(c))))
     )
-    return sha_column(F.concat(F.lit(f"{label}="), coded))
+    return sha_column(F.concat(F.lit(label.rstrip("'") + "="), coded))
 
 
 def keyed(prefix: str, tag: str, bindings: dict[str, Column]) -> Column:

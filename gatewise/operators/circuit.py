@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, terms
-from ..storage import settled
+from ..plans.algebra import plain
+from ..storage import remove, settled
 from . import relation as R
 
 # The circuit vocabulary.
@@ -69,6 +70,8 @@ class Circuit:
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
+        else:
+            raise ValueError(f"the circuit is deeper than {max_depth} gates, or has a cycle")
         return seen.join(wires, "gate").select("root", "gate", "op", "child", "role")
 
     def cone_sizes(self) -> DataFrame:
@@ -98,7 +101,7 @@ class Circuit:
         root = name(F.col("root"))
         label = F.concat(
             F.lit("A"),
-            *[F.concat(F.lit(f"|{v}="), F.coalesce(terms.lex(F.col(f"`{v}`")), F.lit("NULL"))) for v in self.variables],
+            *[F.concat(F.lit(f"|{plain(v)}="), F.coalesce(terms.lex(F.col(f"`{v}`")), F.lit("NULL"))) for v in self.variables],
         )
         quote = lambda c: F.concat(F.lit('"'), _escaped(c), F.lit('"'))
         lines.append(self.answers.select(triple(root, NS + "answer", quote(label))))
@@ -106,7 +109,7 @@ class Circuit:
             node = F.concat(F.lit("<"), F.col("root"), F.lit(f"#{v}>"))
             c = F.col(f"`{v}`")
             lines.append(self.answers.select(triple(root, NS + "binding", node)))
-            lines.append(self.answers.select(triple(node, NS + "var", F.lit(f'"{v}"'))))
+            lines.append(self.answers.select(triple(node, NS + "var", F.lit(f'"{plain(v)}"'))))
             lines.append(self.answers.where(c.isNotNull()).select(triple(node, NS + "val", written(c))))
         return R.union_frames([x.toDF("line") for x in lines]).distinct()
 
@@ -120,6 +123,11 @@ class Circuit:
         self.answers.write.mode("overwrite").parquet(f"{path}/run={run}/answers")
 
 
+def drop(spark: SparkSession, path: str, run: str) -> None:
+    """Forget a run; others under the same path stay."""
+    remove(spark, f"{path}/run={run}")
+
+
 def run_name(query: str) -> str:
     return f"urn-circuit-run-{identity.sha(query)}"
 

@@ -2,10 +2,12 @@
 
 A weighted relation carries a probability per row.  Joining rows of different
 tables multiplies, summing out variables combines by 1 - ∏(1 - p); the result
-is exact if no two rows that meet in a sum or product share a token.  For a
-conjunction of row patterns without repeated tables that is so exactly when
-the query is hierarchical, which ``plan`` checks before it evaluates; if it is
-not, it says so, and the circuit route answers instead.
+is exact if no two rows that meet in a sum or product share a token.  Every
+relation therefore knows which variables tell its rows apart and which tables'
+tokens stand in one row only, and a sum over rows that may share a token is
+refused.  For a conjunction of row patterns without repeated tables there is an
+order that passes exactly when the query is hierarchical; ``plan`` checks that
+and finds it.  What is refused has its answer from a circuit.
 """
 
 from __future__ import annotations
@@ -25,12 +27,19 @@ class Weighted:
     variables: tuple[str, ...]
     #: which tables' tokens the rows depend on
     tables: frozenset[str]
+    #: those whose token is in one row at most
+    once: frozenset[str] = frozenset()
+    #: variables that no two rows agree on, if known
+    key: frozenset[str] | None = None
 
 
-def rows(table: DataFrame, name: str, bind: dict[str, Column], p: Column, keep: Column | None = None) -> Weighted:
-    """Rows of a table with probability ``p``; equal bindings stay apart."""
+def rows(
+    table: DataFrame, name: str, bind: dict[str, Column], p: Column, keep: Column | None = None, key: tuple[str, ...] | None = None
+) -> Weighted:
+    """Rows of a table with probability ``p``; equal bindings stay apart.  ``key``: variables that tell rows apart."""
     kept = table if keep is None else table.where(keep)
-    return Weighted(kept.select(*[c.alias(v) for v, c in bind.items()], p.alias("_p")), tuple(bind), frozenset({name}))
+    df = kept.select(*[c.alias(v) for v, c in bind.items()], p.alias("_p"))
+    return Weighted(df, tuple(bind), frozenset({name}), frozenset({name}), None if key is None else frozenset(key))
 
 
 def _disjoint(a: Weighted, b: Weighted) -> None:
@@ -44,7 +53,10 @@ def join(a: Weighted, b: Weighted) -> Weighted:
     right = b.df.withColumnRenamed("_p", "_q")
     df = a.df.join(right, shared) if shared else a.df.crossJoin(right)
     names = a.variables + tuple(v for v in b.variables if v not in shared)
-    return Weighted(df.withColumn("_p", F.col("_p") * F.col("_q")).drop("_q"), names, a.tables | b.tables)
+    one_b, one_a = (x.key is not None and x.key <= set(shared) for x in (b, a))  # a row meets one row at most there
+    once = (a.once if one_b else frozenset()) | (b.once if one_a else frozenset())
+    key = a.key if one_b else b.key if one_a else None if None in (a.key, b.key) else a.key | b.key
+    return Weighted(df.withColumn("_p", F.col("_p") * F.col("_q")).drop("_q"), names, a.tables | b.tables, once, key)
 
 
 def either(c: Column) -> Column:
@@ -53,7 +65,12 @@ def either(c: Column) -> Column:
 
 
 def project(a: Weighted, names: tuple[str, ...]) -> Weighted:
-    return Weighted(a.df.groupBy(*names).agg(either(F.col("_p")).alias("_p")), names, a.tables)
+    """Rows that agree on ``names`` become one; refused if some of them may share a token."""
+    alone = a.key is not None and a.key <= set(names)
+    if not alone and not a.tables <= a.once:
+        raise UnsupportedFeature(f"rows that agree on {names} may share tokens of {sorted(a.tables - a.once)}: use the circuit")
+    df = a.df.groupBy(*names).agg(either(F.col("_p")).alias("_p"))
+    return Weighted(df, names, a.tables, a.once if alone else a.tables, a.key if alone else frozenset(names))
 
 
 def minus(a: Weighted, b: Weighted) -> Weighted:
@@ -64,7 +81,9 @@ def minus(a: Weighted, b: Weighted) -> Weighted:
         return a
     blocked = project(b, shared).df.withColumnRenamed("_p", "_q")
     df = a.df.join(blocked, list(shared), "left")
-    return Weighted(df.withColumn("_p", F.col("_p") * (1 - F.coalesce("_q", F.lit(0.0)))).drop("_q"), a.variables, a.tables | b.tables)
+    once = a.once | (b.tables if a.key is not None and a.key <= set(shared) else frozenset())
+    df = df.withColumn("_p", F.col("_p") * (1 - F.coalesce("_q", F.lit(0.0)))).drop("_q")
+    return Weighted(df, a.variables, a.tables | b.tables, once, a.key)
 
 
 def optional(a: Weighted, b: Weighted) -> DataFrame:
@@ -82,10 +101,9 @@ def optional(a: Weighted, b: Weighted) -> DataFrame:
 
 def union(a: Weighted, b: Weighted, names: tuple[str, ...]) -> Weighted:
     _disjoint(a, b)
-    return Weighted(
-        project(a, names).df.unionByName(project(b, names).df).groupBy(*names).agg(either(F.col("_p")).alias("_p")),
-        names, a.tables | b.tables,
-    )
+    df = project(a, names).df.unionByName(project(b, names).df).groupBy(*names).agg(either(F.col("_p")).alias("_p"))
+    tables = a.tables | b.tables
+    return Weighted(df, names, tables, tables, frozenset(names))
 
 
 def hierarchical(scopes: list[frozenset[str]], head: frozenset[str]) -> bool:
@@ -103,7 +121,8 @@ def plan(patterns: list[Weighted], head: tuple[str, ...]) -> Weighted:
     names = [t for p in patterns for t in p.tables]
     if len(names) != len(set(names)) or not hierarchical(scopes, frozenset(head)):
         raise UnsupportedFeature("not hierarchical, or a table twice: use the circuit")
-    return project(_safe(patterns, frozenset(head)), head)
+    alone = [p if p.key is not None else project(p, p.variables) for p in patterns]
+    return project(_safe(alone, frozenset(head)), head)
 
 
 def _safe(patterns: list[Weighted], keep: frozenset[str]) -> Weighted:

@@ -61,25 +61,42 @@ def edges(planner, step: A.Node) -> R.Relation:
     return R.Relation(df, ("u", "v"), ("_e",), sum((b.wires for b in branches), ()))
 
 
-def closure(planner, path: A.Path) -> R.Relation:
-    """``s step+ o`` or ``s step* o`` as a relation with one gate for each pair."""
+def ends_of(planner, path: A.Path, siblings: list[A.Bgp]) -> tuple[str, object] | None:
+    """The end of a path that a block joined to it binds, the source if both are, and the terms it may be."""
+    for end, slot in (("s", path.s), ("o", path.o)):
+        for block in siblings:
+            if isinstance(slot, A.Var) and slot.name in N.scope(block):
+                found = planner.block(block)
+                return end, found.df.select(found.column(slot.name).alias("u")).distinct()
+    return None
+
+
+def closure(planner, path: A.Path, bound: tuple[str, object] | None = None) -> R.Relation:
+    """``s step+ o`` or ``s step* o`` as a relation with one gate for each pair.
+
+    Walks start from the constant end, else from the terms that ``bound`` has for an end, else, if allowed, from all.
+    """
     start = path.s if isinstance(path.s, str) else None
     finish = path.o if isinstance(path.o, str) else None
-    backward = start is None and finish is not None
-    if start is None and finish is None and not planner.unbound_paths:
-        raise A.UnsupportedFeature("a closure without a constant end: allow unbound paths to build all pairs")
+    constant = start is not None or finish is not None
+    backward = start is None and finish is not None or not constant and bound is not None and bound[0] == "o"
+    if not constant and bound is None and not planner.unbound_paths:
+        raise A.UnsupportedFeature("a closure whose ends neither are constant nor bound: allow unbound paths to build all pairs")
     base = edges(planner, path.step)
     df = base.df
     if backward:  # grow from the constant end, along reversed edges
         df = df.select(F.col("v").alias("u"), F.col("u").alias("v"), "_e")
     pairs = settled(df, "edges")
-    sources = None if start is None and finish is None else [finish if backward else start]
-    level = pairs.where(F.col("u").isin(sources)) if sources else pairs
+    if constant:
+        sources = planner.facts.sparkSession.createDataFrame([(finish if backward else start,)], "u string")
+    else:
+        sources = None if bound is None else settled(bound[1], "sources")
+    level = pairs.join(sources, "u", "left_semi") if sources is not None else pairs
     level = level.select(F.col("u").alias("s"), F.col("v").alias("n"), F.col("_e").alias("g"))
     wires = list(base.wires)
     key = A.fingerprint(A.Path(A.FROM, A.TO, 1, path.step)) + ("<" if backward else ">")
     seen, rounds = _reach(pairs, level)
-    if sources:  # only edges out of reached nodes matter
+    if sources is not None:  # only edges out of reached nodes matter
         pairs = pairs.join(seen.select(F.col("n").alias("u")).unionByName(level.select(F.col("s").alias("u"))).distinct(), "u", "left_semi")
     levels = [level]
     for k in range(1, rounds):
@@ -95,7 +112,9 @@ def closure(planner, path: A.Path) -> R.Relation:
         zero = R.feed(_mentions(planner), ["_n"], identity.SHARED, "ZERO@")
         wires += zero.wires
         here = zero.df.select(F.col("_n").alias("s"), F.col("_n").alias("n"), F.col(zero.gates[0]).alias("g"))
-        every = every.unionByName(here.where(F.col("s").isin(sources)) if sources else here)
+        if sources is not None:
+            here = here.join(sources.select(F.col("u").alias("s")), "s", "left_semi")
+        every = every.unionByName(here)
     total = R.feed(R.Relation(every, ("s", "n"), ("g",)), ("s", "n"), identity.REACH, f"R|{key}|all|{path.least}")
     columns = ("n", "s") if backward else ("s", "n")
     out = total.df.select(F.col(columns[0]).alias("_u"), F.col(columns[1]).alias("_v"), *total.gates)

@@ -67,6 +67,8 @@ def extensional(wires: DataFrame, probs: DataFrame, max_depth: int = 10_000) ->
             break
         solved = level if solved is None else solved.unionByName(level)
         known = known.unionByName(level.withColumnRenamed("gate", "node"))
+    else:
+        raise ValueError(f"the circuit is deeper than {max_depth} gates, or has a cycle")
     return level if solved is None else solved
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 from ..functions.identity import part, parts, sha
 from ..functions.terms import rendered
@@ -144,7 +144,7 @@ INFIX = ("=", "!=", "<", "<=", ">", ">=", "&&", "||", "+", "-", "*", "/")
 def written(c) -> str:
     """Query text of a condition."""
     if isinstance(c, Var):
-        return f"?{c.name}"
+        return f"?{plain(c.name)}"
     if isinstance(c, str):
         return rendered(c)
     args = [written(a) for a in c.args]
@@ -155,12 +155,54 @@ def written(c) -> str:
     return f"{c.op}({', '.join(args)})"
 
 
+# -- names: columns don't tell X from x, variables do
+
+
+def plain(name: str) -> str:
+    """The variable's name as written."""
+    return name.rstrip("'")
+
+
+def _names(node) -> set[str]:
+    if isinstance(node, Var):
+        return {node.name}
+    if isinstance(node, tuple):
+        return set().union(*map(_names, node))
+    return set().union(*(_names(getattr(node, f.name)) for f in fields(node))) if is_dataclass(node) else set()
+
+
+def _renamed(node, names: dict[str, str]):
+    if isinstance(node, Var):
+        return replace(node, name=names.get(node.name, node.name))
+    if isinstance(node, tuple):
+        return tuple(_renamed(x, names) for x in node)
+    if is_dataclass(node):
+        return replace(node, **{f.name: _renamed(getattr(node, f.name), names) for f in fields(node)})
+    return node
+
+
+def told_apart(query: Select) -> Select:
+    """Names that differ by case alone get primes, all but the first in order; identities and output go by ``plain``."""
+    taken: set[str] = set()
+    names = {}
+    for name in sorted(_names(query.body) | set(query.variables)):
+        new = name
+        while new.lower() in taken:
+            new += "'"
+        taken.add(new.lower())
+        if new != name:
+            names[name] = new
+    if not names:
+        return query
+    return Select(tuple(names.get(v, v) for v in query.variables), _renamed(query.body, names))
+
+
 # -- keys: what an identity is made from
 
 
 def slot_key(x: Slot) -> str:
     if isinstance(x, Var):
-        return ("X" if x.hidden else "V") + part(x.name)
+        return ("X" if x.hidden else "V") + part(plain(x.name))
     return "C" + part(rendered(x))
 
 
@@ -221,4 +263,4 @@ def difference_fingerprint(left: Node, rights: list[Node]) -> str:
 
 
 def answer_tag(query: Select) -> str:
-    return "A@" + sha("ANSWER" + part(key(query.body)) + "|W" + parts(query.variables))
+    return "A@" + sha("ANSWER" + part(key(query.body)) + "|W" + parts(map(plain, query.variables)))

@@ -117,7 +117,8 @@ class Planner:
             case N.Kept(arg, condition):
                 return self.keep(self.relation(arg), [condition])
             case N.Product(factors):
-                return reduce(R.join, [self.factor(f) for f in factors])
+                blocks = [f for f in factors if isinstance(f, A.Bgp)]
+                return reduce(R.join, [self.factor(f, blocks) for f in factors])
             case N.Difference(left, rights, source, right_sources):
                 base, direct = self.operand(left)
                 others = [(*self.operand(r), A.fingerprint(s)) for r, s in zip(rights, right_sources)]
@@ -132,9 +133,12 @@ class Planner:
                 )
         raise TypeError(alternative)
 
-    def factor(self, alternative) -> R.Relation:
-        """A factor of a product: blocks give their tokens, others one gate."""
-        found = self.relation(alternative)
+    def factor(self, alternative, blocks: list[A.Bgp]) -> R.Relation:
+        """A factor of a product: blocks give their tokens, others one gate; ``blocks`` bind the ends of paths."""
+        if isinstance(alternative, A.Path):
+            found = paths.closure(self, alternative, paths.ends_of(self, alternative, blocks))
+        else:
+            found = self.relation(alternative)
         return found if isinstance(alternative, A.Bgp) else self.visible(R.single(found))
 
     def operand(self, alternative) -> tuple[R.Relation, bool]:

@@ -9,7 +9,8 @@ DATA = "/root/testdata/sf0.001"
 NAMES = [
     "atom_scan", "bgp_q3", "bgp_q5", "bgp_q9", "bgp_q10", "recon", "recon_naive", "star", "hierarchy", "minus_guarded", "minus_chain",
     "minus_union_right", "optional_match", "optional_disjoint", "gates_times", "gates_answers", "edges_recon", "prov_string",
-    "reify_standard", "reify_star", "reify_wikidata", "direct_mapping",
+    "filter_big", "vars_case", "selfjoin", "two_optionals", "factored_cone", "path_bound_source", "text_recon_flat", "text_recon_factored",
+    "text_minus", "reify_standard", "reify_star", "reify_wikidata", "direct_mapping",
 ]
 
 

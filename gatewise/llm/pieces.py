@@ -31,6 +31,7 @@ import re
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,18 +116,18 @@ class Chunks:
             if least > len(old):
                 setattr(self, name, np.concatenate([old, np.zeros(max(least, 2 * len(old)) - len(old), old.dtype)]))
 
-    def add(self, chunks: list[str], coded: list[list[tuple[int, int, int]]]) -> None:
-        at, counts = len(self.slots), [len(c) for c in coded]
+    def add(self, chunks: list[str], sizes: np.ndarray, counts: np.ndarray, *found: np.ndarray) -> None:
+        """``found``: ids, starts and ends of all chunks' pieces, of which each chunk has ``counts``."""
+        at, many = len(self.slots), len(found[0])
         self._room(("first", "count", "size"), at + len(chunks))
-        self._room(("ids", "starts", "ends"), self.used + sum(counts))
+        self._room(("ids", "starts", "ends"), self.used + many)
         here = slice(at, at + len(chunks))
         self.count[here] = counts
         self.first[here] = self.used + np.cumsum(counts) - counts
-        self.size[here] = [len(c.encode()) for c in chunks]
-        flat = np.array([x for one in coded for x in one], np.int32).reshape(-1, 3)
-        for k, name in enumerate(("ids", "starts", "ends")):
-            getattr(self, name)[self.used : self.used + len(flat)] = flat[:, k]
-        self.used += len(flat)
+        self.size[here] = sizes
+        for name, values in zip(("ids", "starts", "ends"), found):
+            getattr(self, name)[self.used : self.used + many] = values
+        self.used += many
         self.slots.update(zip(chunks, range(at, at + len(chunks))))
 
 
@@ -160,6 +161,8 @@ class PieceModel:
             and not any(MARK in p.lstrip(MARK) or "\n" in p for p in plain)
         )
         self.lengths = [1 if i in self.bytes else len(p.encode()) for i, p in enumerate(self.pieces)]
+        self.lengths_of = np.array(self.lengths, np.int64)
+        self.decimals = list(map(str, range(len(self.pieces))))
         self.unknown = self.library.unk_id()
         self.known = Chunks()
 
@@ -237,12 +240,31 @@ class PieceModel:
             self.known = Chunks()
         marked = [c[0] in " ▁" for c in new]
         coded = self.library.encode([c[1:] if m else c for c, m in zip(new, marked)], num_threads=1)
-        found = []
-        for chunk, m, ids in zip(new, marked, coded):
-            if chunk in (" ", MARK):  # the library has no pieces for the empty text left of it
-                ids = [self.library.piece_to_id(MARK)]
-            found.append(self.project(self.normalise(chunk, inside=True), ids if m else ids[1:]))
-        self.known.add(new, found)
+        # the library has no pieces for the empty text left of a lone mark
+        lone = [self.library.piece_to_id(MARK)]
+        coded = [lone if c in (" ", MARK) else ids if m else ids[1:] for c, m, ids in zip(new, marked, coded)]
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter(chain.from_iterable(coded), np.int64, int(counts.sum()))
+        raw = np.frombuffer("".join(new).encode(), np.uint8)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters start
+        edges = np.append(at, len(raw))[np.cumsum([0, *map(len, new)])]  # and chunks
+        if (ids == self.unknown).any():
+            found = [self.project(self.normalise(c, inside=True), i) for c, i in zip(new, coded)]
+            flat = np.array([x for one in found for x in one], np.int64).reshape(-1, 3).T
+            self.known.add(new, np.diff(edges), counts, *flat)
+            return
+        # all chunks at once, as ``normalise`` and ``project`` do: a space is written as a mark, others as they are
+        width = np.diff(at, append=len(raw))
+        written = np.where(raw[at] == 0x20, len(MARK.encode()), width)
+        first, last = np.repeat(at, written), np.repeat(at + width, written)
+        sizes = self.lengths_of[ids]
+        done = np.cumsum(sizes)
+        covered = np.concatenate([[0], done])[np.cumsum(counts)]
+        needed = np.cumsum(np.concatenate([[0], written]))[np.searchsorted(at, edges[1:])]
+        if not np.array_equal(covered, needed):
+            raise ValueError("pieces don't cover the normalised text")
+        base = np.repeat(edges[:-1], counts)
+        self.known.add(new, np.diff(edges), counts, ids, first[done - sizes] - base, last[done - 1] - base)
 
     def segment(self, chunks: list[str]) -> np.ndarray:
         """Where each chunk is remembered."""
@@ -255,6 +277,14 @@ class PieceModel:
                 found = [self.known.slots[c] for c in chunks]
         return np.array(found, np.int64)
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the unknown chunks of many texts together."""
+        if self.local:
+            slots = self.known.slots
+            new = {c for t in texts if t for c in self.chunks(t) if c not in slots}
+            if new:
+                self.learn(list(new))
+
     # -- projection
 
     def project(self, normal: Normal, ids: list[int]) -> list[tuple[int, int, int]]:
@@ -293,7 +323,7 @@ class PieceModel:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, their comma-joined digest, and the digest of the decoded text."""
         coded = self.code(text)
-        written = ",".join(map(str, coded.ids.tolist()))
+        written = ",".join(map(self.decimals.__getitem__, coded.ids.tolist()))
         return len(coded.ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(coded.decoded.encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
@@ -311,7 +341,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = model(path)
-        coded = [known.code(t or "") for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        known.prepare(texts)
+        coded = [known.code(t) for t in texts]
         columns = [pa.array([getattr(c, k) for c in coded], pa.list_(pa.int32())) for k in ("ids", "starts", "ends")]
         decoded = pa.array([c.decoded for c in coded], pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *columns, decoded], [id_col, "ids", "starts", "ends", "decoded"])
@@ -328,7 +360,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = model(path)
-        found = [known.digest(t or "") for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        known.prepare(texts)
+        found = [known.digest(t) for t in texts]
         columns = [pa.array([f[0] for f in found], pa.int64())]
         columns += [pa.array([f[k] for f in found], pa.string()) for k in (1, 2)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

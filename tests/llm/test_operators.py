@@ -235,6 +235,22 @@ def test_op9_rows_come_from_the_pieces(docs):
     assert wrong.digest("alpha beta")[2] != hashed("alpha beta") == known.digest("alpha beta")[2]
 
 
+def test_op9_spans_are_the_librarys():
+    import random
+
+    known = pieces.PieceModel(str(P.path("piece_bpe_32k.model")))
+    rng, letters = random.Random(5), "ab c\n\té日▁  😀.AZ09\u0301\xa0"
+    for _ in range(300):
+        text = "".join(rng.choices(letters, k=rng.randrange(1, 40)))
+        want = known.library.encode(text, return_type="proto").pieces
+        got = known.encode(text)
+        assert [i for i, _, _ in got] == [p.id for p in want]
+        for (_, a, b), p in zip(got, want):  # the library counts characters, and gives all bytes of one to its last byte piece
+            if p.surface and not p.piece.startswith("<0x"):
+                assert text.encode()[a:b].decode() == p.surface
+        assert got[-1][2] == len(text.encode())
+
+
 def test_op9_character_map():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as formats

@@ -99,3 +99,23 @@ def test_edges_of_a_graph_settle_on_equal_edges_only(spark):
 
 def test_licenses_of_nothing(spark):
     assert licenses.find_licenses(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).where("size(matches) > 0").count() == 0
+
+
+def test_pipeline_of_hard_inputs(spark, tmp_path):
+    import corpus_pipeline
+
+    good = lambda k: " ".join(f"{'abcdefgh'[k]}{j}" for j in range(70))
+    rows = [(k, good(k), None, None if k == 3 else "h", 1, k, k, "x") for k in range(6)]
+    rows += [(10, None, None, None, None, 1, 1, None), (11, "", "en", "h", 0, 1, 1, ""), (None, good(6), None, "h", 5, 6, 7, "n"), (0, good(0), None, "h", 1, 8, 9, "again")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, fp int, content string"
+    for name, table in (("some", rows), ("none", [])):
+        where = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(table, schema).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(1, good(5)), (2, None), (None, good(4))], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for label, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.durable(stage(spark, docs, where), label)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        kept = {r["doc_id"] for r in corpus_pipeline.run(spark, where).collect()}
+        assert kept == ({0, 1, 2, 3, 4, None} if table else set())
+        assert {r["_row"] for r in docs.collect()} <= {0, 1, 2, 3, 4, 6, 8}

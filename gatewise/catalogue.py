@@ -625,7 +625,7 @@ def order_probs(spark, d) -> DataFrame:
     return R.union_frames([
         c.select(T.entity("customer", F.col("c_custkey")).alias("token"), share(F.col("c_custkey")).alias("p")),
         o.select(T.entity("order", F.col("o_orderkey")).alias("token"), share(F.col("o_orderkey")).alias("p")),
-        l.select(line.alias("token"), share(F.expr(LINE_KEY)).alias("p")).distinct(),
+        l.select(line.alias("token"), share(F.expr(LINE_KEY)).alias("p")),
     ])
 
 

@@ -52,8 +52,7 @@ class Engine:
 
     def probabilities(self, query: str, probs: DataFrame) -> DataFrame:
         """Each possible answer with its exact probability."""
-        made = self.circuit(query).settle()
-        return probability.probabilities(made, probs, self.config.compile_mode, self.config.node_limit, self.config.worlds)
+        return probability.probabilities(self.circuit(query), probs, self.config.compile_mode, self.config.node_limit, self.config.worlds)
 
     def shapley(self, query: str) -> DataFrame:
         return explain.shapley(self.circuit(query).settle(), self.config.node_limit)

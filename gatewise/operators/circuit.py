@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, terms
 from ..plans.algebra import plain
-from ..storage import remove, settled
+from ..storage import Scratch, remove, settled
 from . import relation as R
 
 # The circuit vocabulary.
@@ -30,6 +30,12 @@ class Circuit:
     wires: DataFrame
     answers: DataFrame
     variables: tuple[str, ...]
+    repeated: DataFrame | None = None  #: the wires before repeats go, where that is cheaper
+
+    @property
+    def every(self) -> DataFrame:
+        """The wires, some perhaps more than once."""
+        return self.wires if self.repeated is None else self.repeated
 
     @property
     def gates(self) -> DataFrame:
@@ -58,15 +64,16 @@ class Circuit:
         """How many gates use each node."""
         return self.edges.groupBy(F.col("child").alias("node")).agg(F.count_distinct("parent").alias("uses"))
 
-    def cones(self, max_depth: int = 10_000) -> DataFrame:
+    def cones(self, max_depth: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
         """``(root, gate, op, child, role)``: for every answer the wires below it."""
+        keep = scratch.settled if scratch else settled
         wires = self.wires
         inner = wires.where(F.col("child").isNotNull()).select("gate", F.col("child").alias("below"))
         inner = inner.join(wires.select(F.col("gate").alias("below")).distinct(), "below", "left_semi").distinct()
         front = seen = self.answers.select("root", F.col("root").alias("gate")).distinct()
         for _ in range(max_depth):
             reached = front.join(inner, "gate").select("root", F.col("below").alias("gate")).distinct()
-            front = settled(reached.join(seen, ["root", "gate"], "left_anti").select("root", "gate"), "front")
+            front = keep(reached.join(seen, ["root", "gate"], "left_anti").select("root", "gate"), "front")
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
@@ -165,7 +172,8 @@ def answers(branches: list[tuple[R.Relation, bool]], variables: tuple[str, ...],
             F.col(f"`{v}`") if v in fed.variables else F.lit(None).cast("string").alias(v) for v in variables
         ]
         rows.append(fed.df.select(F.col(fed.gates[0]).alias("root"), *columns))
-    return Circuit(R.union_frames(wires).distinct(), R.union_frames(rows).distinct(), tuple(variables))
+    every = R.union_frames(wires)
+    return Circuit(every.distinct(), R.union_frames(rows).distinct(), tuple(variables), every)
 
 
 _LINE = re.compile(r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.*?)\s*\.\s*$')

@@ -1,8 +1,8 @@
 """Exact probabilities of answers.
 
 Two routes.  *Read-once* answers (every node below the answer used once) are
-solved by DataFrame aggregation, level by level, shared gates once.  All
-others go to workers, where the gates of one answer, or of one family of
+solved by DataFrame aggregation, level by level, shared gates once, under
+short names and without a list of gates for each answer.  All others go to workers, where the gates of one answer, or of one family of
 answers connected through shared nodes, are compiled together.  Nothing is
 sampled; a diagram beyond the limit is an error.
 """
@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..storage import settled
+from ..storage import Scratch, settled
 from . import compiling
 from .circuit import Circuit
 
@@ -39,37 +39,72 @@ def require_all(circuit: Circuit, probs: DataFrame) -> None:
         raise ValueError(f"no probability for {[r['token'] for r in missing]}")
 
 
+def short(name: Column) -> Column:
+    """The first 128 bits of a name's SHA-256, for joins."""
+    return F.unhex(F.substring(F.sha2(name, 256), 1, 32))
+
+
 def read_once_roots(cones: DataFrame) -> DataFrame:
     """Answers below which no node is used twice."""
     uses = cones.where(F.col("child").isNotNull()).groupBy("root", "child").agg(F.count("*").alias("n"))
     return uses.groupBy("root").agg(F.max("n").alias("n")).where("n = 1").select("root")
 
 
-def extensional(wires: DataFrame, probs: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """``(gate, p)`` as if children were independent, bottom up.  Exact below read-once answers."""
-    wires = settled(wires.select("gate", "op", "child", "role").distinct(), "wires")
-    constant = wires.groupBy("gate").agg(F.first("op").alias("op"), F.count("child").alias("n")).where("n = 0")
-    known = probs.select(F.col("token").alias("node"), "p").unionByName(
-        constant.select(F.col("gate").alias("node"), F.when(F.col("op") == "times", 1.0).otherwise(0.0).alias("p"))
-    )
+def entangled_roots(circuit: Circuit, scratch: Scratch) -> DataFrame | None:
+    """Answers below which some node is used twice; None if there is no such answer.
+
+    Such a node has two users in the whole circuit, too, so only what stands above nodes with two users is looked at.
+    """
+    inner = circuit.wires.where(F.col("child").isNotNull())
+    front = scratch.settled(circuit.fan_out().where("uses > 1").select("node"), "shared")
+    above = front
+    while not front.isEmpty():
+        over = inner.join(front, inner["child"] == front["node"], "left_semi").select(F.col("gate").alias("node")).distinct()
+        front = scratch.settled(over.join(above, "node", "left_anti"), "above")
+        above = above.unionByName(front)
+    part = scratch.settled(inner.join(above, inner["child"] == above["node"], "left_semi"), "part")
+    if part.isEmpty():
+        return None
+    roots = circuit.answers.join(part.select(F.col("gate").alias("root")).distinct(), "root", "left_semi")
+    cones = Circuit(part, roots, ()).cones(scratch=scratch)
+    uses = cones.groupBy("root", "child").agg(F.count("*").alias("n")).where("n > 1")
+    found = scratch.settled(uses.select("root").distinct(), "entangled")
+    return None if found.isEmpty() else found
+
+
+def extensional(wires: DataFrame, probs: DataFrame, max_depth: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
+    """``(gate, p)`` as if children were independent, bottom up.  Exact below read-once answers.
+
+    A value goes to its users once, when it is known; a gate that waits for others keeps the product so far.
+    """
+    keep = scratch.settled if scratch else settled
+    wires = keep(wires.select("gate", "op", "child", "role").distinct(), "wires")
     inner = wires.where(F.col("child").isNotNull())
-    solved = None
+    needs = keep(wires.groupBy("gate").agg(F.first("op").alias("op"), F.count("child").alias("n")), "needs")
+    front = keep(
+        probs.select(F.col("token").alias("node"), "p").unionByName(
+            needs.where("n = 0").select(F.col("gate").alias("node"), F.when(F.col("op") == "times", 1.0).otherwise(0.0).alias("p"))
+        ),
+        "level",
+    )
+    solved = front.limit(0)
+    waiting = None
     for _ in range(max_depth):
-        open_ = inner if solved is None else inner.join(solved.select("gate"), "gate", "left_anti")
-        got = open_.join(known, open_["child"] == known["node"], "left")
         q = F.when(F.col("role").isin("in", "minuend"), F.col("p")).otherwise(1 - F.col("p"))
-        level = got.groupBy("gate").agg(
-            F.first("op").alias("op"), F.count(F.when(F.col("p").isNull(), 1)).alias("waiting"), F.product(q).alias("x")
-        ).where("waiting = 0")
-        level = level.select("gate", F.when(F.col("op") == "plus", 1 - F.col("x")).otherwise(F.col("x")).alias("p"))
-        level = settled(level, "level")
-        if level.isEmpty():
+        got = inner.join(front, inner["child"] == front["node"]).groupBy("gate").agg(F.count("*").alias("got"), F.product(q).alias("x"))
+        if waiting is not None:
+            got = waiting.unionByName(got).groupBy("gate").agg(F.sum("got").alias("got"), F.product("x").alias("x"))
+        got = keep(got.join(needs, "gate"), "level")
+        waiting = got.where("got < n").select("gate", "got", "x")
+        front = got.where("got = n").select(
+            F.col("gate").alias("node"), F.when(F.col("op") == "plus", 1 - F.col("x")).otherwise(F.col("x")).alias("p")
+        )
+        if front.isEmpty():
             break
-        solved = level if solved is None else solved.unionByName(level)
-        known = known.unionByName(level.withColumnRenamed("gate", "node"))
+        solved = solved.unionByName(front)
     else:
         raise ValueError(f"the circuit is deeper than {max_depth} gates, or has a cycle")
-    return level if solved is None else solved
+    return solved.withColumnRenamed("node", "gate")
 
 
 def read_once_probabilities(circuit: Circuit, probs: DataFrame, cones: DataFrame | None = None) -> DataFrame:
@@ -78,6 +113,7 @@ def read_once_probabilities(circuit: Circuit, probs: DataFrame, cones: DataFrame
     If no node of the whole circuit has two users, all answers are read-once
     and no cone need be built.
     """
+    probs = probs.select("token", "p").distinct()
     if cones is None and circuit.fan_out().where("uses > 1").isEmpty():
         values = extensional(circuit.wires, probs)
         roots = circuit.answers.select("root")
@@ -147,13 +183,36 @@ def probabilities(
     those of answers that share nodes in one diagram.
     """
     probs = check_probabilities(probs)
-    require_all(circuit, probs)
-    cones = settled(circuit.cones(), "cones")
-    simple = settled(read_once_roots(cones), "read-once")
-    easy = read_once_probabilities(circuit, probs, cones).select(
-        "root", "probability", F.lit("read-once").alias("method"), F.lit(0).cast("long").alias("bdd_nodes")
+    scratch = Scratch(circuit.wires.sparkSession)
+    coded = circuit.every.select(short(F.col("gate")).alias("gate"), "op", short(F.col("child")).alias("child"), "role").distinct()
+    roots = circuit.answers.select(short(F.col("root")).alias("root"))
+    compact = Circuit(scratch.settled(coded, "compact"), roots, ())
+    leaves = scratch.settled(compact.leaves(), "leaves")
+    known = probs.select(short(F.col("token")).alias("node"), "p").join(leaves.withColumnRenamed("token", "node"), "node", "left_semi")
+    known = scratch.settled(known.groupBy("node").agg(F.min("p").alias("p"), F.max("p").alias("most")), "known")
+    if not leaves.join(known, leaves["token"] == known["node"], "left_anti").isEmpty():
+        require_all(circuit, probs)
+    twice = known.where("p < most")
+    if not twice.isEmpty():
+        names = probs.join(twice.limit(5), short(F.col("token")) == F.col("node"), "left_semi").select("token").distinct()
+        raise ValueError(f"more than one probability for {[r['token'] for r in names.collect()]}")
+    hard_roots = entangled_roots(compact, scratch)
+    values = extensional(compact.wires, known.select(F.col("node").alias("token"), "p"), scratch=scratch)
+    roots = scratch.settled(roots, "roots")
+    easy = roots if hard_roots is None else roots.join(hard_roots, "root", "left_anti")
+    easy = values.join(easy, values["gate"] == easy["root"], "left_semi").select(
+        F.col("gate").alias("node"), F.col("p").alias("probability"), F.lit("read-once").alias("method"), F.lit(0).cast("long").alias("bdd_nodes")
     )
-    hard = cones.join(simple, "root", "left_anti")
+    rows = circuit.answers.withColumn("node", short(F.col("root")))
+    names = [*[f"`{v}`" for v in circuit.variables], "probability", "method", "bdd_nodes", "root"]
+    found = settled(rows.join(easy, "node").select(*names), "read-once")
+    if hard_roots is None:
+        scratch.drop()
+        return found
+    hard = rows.join(hard_roots, rows["node"] == hard_roots["root"], "left_semi").drop("node")
+    named = Circuit(circuit.wires, hard, circuit.variables).settle()
+    scratch.drop()
+    hard = settled(named.cones(), "cones")
     schema = "root string, probability double, method string, bdd_nodes long"
     if mode == "shared":
         compiled = _shared(hard, probs, node_limit, schema)
@@ -166,9 +225,7 @@ def probabilities(
         compiled = per_root(hard, probs, work, schema)
     else:
         raise ValueError(f"mode {mode!r}")
-    return circuit.answers.join(easy.unionByName(compiled), "root").select(
-        *[f"`{v}`" for v in circuit.variables], "probability", "method", "bdd_nodes", "root"
-    )
+    return found.unionByName(named.answers.join(compiled, "root").select(*names))
 
 
 def families(cones: DataFrame) -> DataFrame:

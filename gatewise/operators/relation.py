@@ -127,19 +127,20 @@ def sum_products(
 
 def _sums(a: Relation, names, prefix: str, tag: str, multiply: bool, settle: bool) -> Relation:
     gate, times = f"_g{next(_serial)}", f"_g{next(_serial)}"
-    named = a.df.withColumn(gate, identity.keyed(prefix, tag, a.bindings(names)))
+    have = [v for v in names if v in a.variables]
+    rows = a.df.select(*[f"`{v}`" for v in have], *a.gates)
+    if settle:  # without the new names, which are long and follow from the row
+        rows = settled(rows, "sums")
+    named = rows.withColumn(gate, identity.keyed(prefix, tag, a.bindings(names)))
     if multiply:
         named = named.withColumn(times, identity.product([F.col(g) for g in a.gates]))
-    if settle:
-        named = settled(named, "sums")
     if multiply:
         made = [_wire(F.col(times), "times", F.col(g), FACTOR) for g in a.gates] or [_wire(F.col(times), "times", None, None)]
         made.append(_wire(F.col(gate), "plus", F.col(times), FEED))
     else:
         made = [_wire(F.col(gate), "plus", F.col(g), FEED) for g in a.gates]
-    have = [v for v in names if v in a.variables]
-    rows = named.select(*[f"`{v}`" for v in have], gate).distinct()
-    return Relation(rows, tuple(have), (gate,), (*a.wires, wires(named, *made)))
+    groups = rows.select(*[f"`{v}`" for v in have]).distinct().withColumn(gate, identity.keyed(prefix, tag, a.bindings(names)))
+    return Relation(groups, tuple(have), (gate,), (*a.wires, wires(named, *made)))
 
 
 def rename(a: Relation, names: dict[str, str]) -> Relation:

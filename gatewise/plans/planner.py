@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from ..functions import conditions, identity
 from ..operators import circuit as C
 from ..operators import paths
 from ..operators import relation as R
+from ..storage import Scratch
 from . import algebra as A
 from . import normal as N
 
@@ -65,6 +66,31 @@ class Planner:
 
     # -- factored blocks
 
+    def reduced(self, bases: list[R.Relation], scratch: Scratch) -> list[R.Relation]:
+        """Bases without the rows that nothing else can meet, in semi-joins along shared variables.
+
+        They start from the bases with the fewest variables, which constants have bound, and go out from there, back, and
+        out once more where a base has several neighbours.
+        """
+        order, over, todo = [], {}, sorted(range(len(bases)), key=lambda k: len(bases[k].variables))
+        while todo:
+            near = [(k, j) for k in todo for j in order if set(bases[k].variables) & set(bases[j].variables)]
+            k, j = near[0] if near else (todo[0], None)
+            order.append(k)
+            over[k] = j
+            todo.remove(k)
+        links = [(k, over[k]) for k in order if over[k] is not None]
+        turns = [*links, *((j, k) for k, j in reversed(links))]
+        if any(sum(j == x for _, j in links) > 1 for x in order):
+            turns += links
+        bases = list(bases)
+        for at, (k, j) in enumerate(turns):
+            smaller = R.reduce_to(bases[k], bases[j])
+            if self.settle and any(k in turn for turn in turns[at + 1 :]):
+                smaller = replace(smaller, df=scratch.settled(smaller.df, "reduced"))
+            bases[k] = smaller
+        return bases
+
     def eliminated(self, bgp: A.Bgp, names: frozenset[str]) -> R.Relation:
         """The block with every variable outside ``names`` summed out, smallest scopes first.
 
@@ -73,12 +99,11 @@ class Planner:
         """
         key = A.fingerprint(bgp)
         bases = [self.atom(p) for p in sorted(bgp.patterns, key=lambda p: tuple(map(A.slot_key, p.slots)))]
+        scratch = Scratch(self.facts.sparkSession)
         if self.restrict and any(isinstance(x, str) for p in bgp.patterns for x in (p.s, p.o)):
-            for k in (*range(1, len(bases)), *range(len(bases) - 2, -1, -1)):  # both ways along the list
-                for other in range(len(bases)):
-                    if other != k and abs(other - k) == 1:
-                        bases[k] = R.reduce_to(bases[k], bases[other])
+            bases = self.reduced(bases, scratch)
         todo = [R.feed(b, sorted(b.variables), identity.SHARED, f"BASE@{key}@{i}", self.settle) for i, b in enumerate(bases)]
+        scratch.drop()
         step = 0
         while True:
             inner = {v for r in todo for v in r.variables} - names

@@ -304,3 +304,20 @@ def test_lifted_sums_refuse_shared_tokens(spark):
     unknown = rows(order, "o", None, "order", "cust")
     with pytest.raises(UnsupportedFeature):
         lifted.project(lifted.join(c, unknown), ("order",))
+
+
+def test_sums_hold_what_answers_need(spark):
+    """Facts that the constant of a pattern two joins away rules out have no gates; repeated probabilities count once."""
+    rows = [(f"c{k}", f"<urn:c{k}>", "<urn:segment>", '"%s"^^<http://www.w3.org/2001/XMLSchema#string>' % ("AB"[k % 2])) for k in range(4)]
+    rows += [(f"o{k}", f"<urn:o{k}>", "<urn:by>", f"<urn:c{k % 4}>") for k in range(8)]
+    rows += [(f"l{k}", f"<urn:l{k}>", "<urn:returned>", f"<urn:o{k % 6}>") for k in range(12)]
+    facts = spark.createDataFrame(rows, "token string, s string, p string, o string")
+    text = 'SELECT ?c ?o WHERE { ?c <urn:segment> "A" . ?o <urn:by> ?c . ?l <urn:returned> ?o }'
+    made = Engine(facts).circuit(text)
+    gates = lambda f: {r["gate"] for r in f.select("gate").distinct().collect()}
+    assert gates(made.wires) == gates(made.cones())
+    probs = spark.createDataFrame([(r[0], 0.5) for r in rows] * 2, "token string, p double")
+    found = Engine(facts).probabilities(text, probs).collect()
+    assert {(r["o"], r["probability"], r["method"]) for r in found} == {(f"<urn:o{k}>", 0.25 * 0.75, "read-once") for k in (0, 2, 4)}
+    with pytest.raises(ValueError, match="more than one probability"):
+        Engine(facts).probabilities(text, probs.unionByName(spark.createDataFrame([("c0", 0.4)], probs.schema)))

@@ -4,8 +4,8 @@ Restaurants: one for each word that something follows, and one for the start
 of a text, serving what comes after; a root is their shared parent.  Below the
 root lies a uniform base over the training words and one unknown word.
 
-Seating is sampled by Gibbs sweeps (see ``seating``): in each, customers of
-every dish of every restaurant get up and sit down again, given all others;
+Seating is sampled by sweeps (see ``seating``): in each, all customers of every
+dish of every restaurant get up and sit down again, given all other dishes;
 tables opened or closed send customers to or from the root, whose dishes are
 then reseated alike.  What other tasks do in the same sweep is seen a sweep
 later.  The first state comes from seating all customers one after another.

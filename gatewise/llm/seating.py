@@ -8,18 +8,22 @@ restaurant; a table of ``s`` customers draws another one with weight
 dishes did since, and exactly for a dish's own tables, so that all dishes can
 be worked on side by side.
 
-All steps are exact draws, whatever the number of customers, and cost steps in
-the number of tables or of moves only:
+All steps are exact, whatever the number of customers, and cost steps in the
+number of tables only:
 
 * ``arrive`` seats customers one after another.  The customers between two new
   tables are not walked through: the chance that the next m all join is the
   m-th moment of a beta variable, so their number is geometric given a draw of
   that variable, and how they divide among the tables is beta-binomial.
 * ``leave`` takes out customers chosen at random.
-* ``reseat`` is the Gibbs step: a customer chosen at random gets up and sits
-  down again, given all others; each dish has ``floor(sqrt(customers))`` such
-  moves.  As customers are chosen at random, any number of moves leaves the
-  distribution of the seating as it should be.
+* ``reseat`` is the whole sweep: all customers of every dish get up, and sit
+  down one after another.  Seats taken one after another divide each weight by
+  the sum of all at that moment, which the seating's distribution does not.  So
+  new tables are opened with their weight times ``_lean``, about what a table
+  more does to the later sums, and the dish takes its new seating with chance
+  ``min(1, new / old)``, both being what a seating's weight is divided by in
+  coming about this way (Metropolis and Hastings).  What becomes of the old one
+  is counted over an order of arrival chosen at random.
 """
 
 from __future__ import annotations
@@ -30,6 +34,12 @@ import numpy as np
 
 #: Beyond this numpy has no hypergeometric draws; the binomial's error is below one in a million there.
 HYPERGEOMETRIC = 900_000_000
+#: Keeps divisions finite.
+TINY = 1e-300
+#: First steps towards the saddle point.
+LEAN_STEPS = 3
+#: By steps, dishes that open a table, and the table's place in their order of arrival, from 1.
+Events = list[tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass
@@ -51,6 +61,11 @@ class Seats:
         ends = np.searchsorted(self.dish, np.arange(self.dishes + 1))
         return np.diff(np.concatenate([[0], np.cumsum(self.size)])[ends])
 
+    def of(self, chosen: np.ndarray) -> Seats:
+        """Those of the dishes that a mask chooses, numbered anew."""
+        here = chosen[self.dish]
+        return Seats(int(chosen.sum()), (np.cumsum(chosen) - 1)[self.dish[here]], self.size[here])
+
 
 @dataclass
 class House:
@@ -74,6 +89,22 @@ def _share(rng: np.random.Generator, many: np.ndarray, here: np.ndarray, there:
     return rng.binomial(many, rng.beta(here, there))
 
 
+def _joined(t: np.ndarray, left: np.ndarray, events: Events, d: float, rng: np.random.Generator) -> tuple[list, list]:
+    """Dishes and sizes of the tables opened, by steps, as ``left`` customers sit at ``t`` tables; both go down by these."""
+    dish, size = [], []
+    for who, at in reversed(events):  # of those after a new table, some joined it and the rest are others'
+        t[who] -= 1
+        joined = np.where(t[who] > 0, 0, left[who] - at)
+        some = np.flatnonzero((t[who] > 0) & (left[who] > at))
+        if len(some):
+            w = who[some]
+            joined[some] = _share(rng, left[w] - at[some], np.full(len(w), 1 - d), at[some] - 1 - d * t[w])
+        size.append(1 + joined)
+        left[who] -= 1 + joined
+        dish.append(who)
+    return dish, size
+
+
 def arrive(seats: Seats, more: np.ndarray, house: House, rng: np.random.Generator) -> Seats:
     """``more`` customers of each dish sit down."""
     d = house.discount
@@ -82,7 +113,7 @@ def arrive(seats: Seats, more: np.ndarray, house: House, rng: np.random.Generato
     old = t.copy()
     i = before.copy()
     active = np.flatnonzero(more > 0)
-    events: list[tuple[np.ndarray, np.ndarray]] = []
+    events: Events = []
     first = active[before[active] == 0]
     if len(first):  # the first customer opens a table
         i[first], t[first] = 1, 1
@@ -98,17 +129,8 @@ def arrive(seats: Seats, more: np.ndarray, house: House, rng: np.random.Generato
         t[active] += 1
         events.append((active, i[active]))
         active = active[end[active] > i[active]]
-    left, dish, size = end.copy(), [seats.dish], []
-    for who, at in reversed(events):  # of those after a new table, some joined it and the rest are others'
-        t[who] -= 1
-        joined = np.where(t[who] > 0, 0, left[who] - at)
-        some = np.flatnonzero((t[who] > 0) & (left[who] > at))
-        if len(some):
-            w = who[some]
-            joined[some] = _share(rng, left[w] - at[some], np.full(len(w), 1 - d), at[some] - 1 - d * t[w])
-        size.append(1 + joined)
-        left[who] -= 1 + joined
-        dish.append(who)
+    left = end.copy()
+    dish, size = _joined(t, left, events, d, rng)
     grown = seats.size.copy()
     waiting = np.where(old > 0, left - before, 0)
     rest = before - d * old
@@ -126,7 +148,7 @@ def arrive(seats: Seats, more: np.ndarray, house: House, rng: np.random.Generato
             taken[some] = _share(rng, waiting[of[some]], here[some], rest[of[some]])
         grown[at] += taken
         waiting[of] -= taken
-    return _ordered(seats.dishes, np.concatenate(dish), np.concatenate([grown, *size]))
+    return _ordered(seats.dishes, np.concatenate([seats.dish, *dish]), np.concatenate([grown, *size]))
 
 
 def leave(seats: Seats, fewer: np.ndarray, rng: np.random.Generator) -> Seats:
@@ -150,48 +172,128 @@ def leave(seats: Seats, fewer: np.ndarray, rng: np.random.Generator) -> Seats:
     return Seats(seats.dishes, seats.dish[stays], size[stays])
 
 
+def _places(seats: Seats, rng: np.random.Generator) -> np.ndarray:
+    """When each dish's tables are opened, in order, if its customers come to their seats in random order.
+
+    They come at uniform times.  Of each table, the share of time left when its first customer comes is drawn, and
+    between two of these how many others come.
+    """
+    rest = (1 - rng.random(len(seats.size))) ** (1 / seats.size)
+    order = np.lexsort((-rest, seats.dish))
+    rest, size = rest[order], seats.size[order]
+    out = np.empty(len(size), np.int64)
+    others, last, place = np.zeros(seats.dishes, np.int64), np.ones(seats.dishes), np.zeros(seats.dishes, np.int64)
+    for at, of in _ranks(seats):
+        between = rng.binomial(others[of], np.clip(1 - rest[at] / last[of], 0, 1))
+        others[of] += size[at] - 1 - between
+        last[of] = rest[at]
+        place[of] += 1 + between
+        out[at] = place[of]
+    return out
+
+
+def _lean(at: np.ndarray, t: np.ndarray, n: np.ndarray, new: np.ndarray, weight: np.ndarray, d: float, lean: np.ndarray) -> np.ndarray:
+    """About how many times more weight the seatings of ``n`` customers have with one more than ``t`` tables now.
+
+    ``at`` customers are seated.  The weight of all that may follow is the coefficient of ``x**(n - at)`` in
+    ``y**-(at - d*t) * (1 - weight * (1 - y**d))**-(new / (d * weight))``, ``y`` being ``1 - x``; one more table
+    multiplies the function by what is returned, taken a step closer to the saddle point than ``lean`` was.
+    """
+    z = at - d * t + new * lean
+    power = (z / (n - at + z)) ** d
+    return power / (1 - weight + weight * power)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """But for a constant."""
+    steps = x.copy()
+    for k in range(1, 8):
+        steps *= x + k
+    x = x + 8
+    y = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x - np.log(steps)
+
+
+def _log_sums(low: np.ndarray, high: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Logarithms of the products of ``i + more``, for ``i`` from ``low`` to ``high`` - 1."""
+    out = np.log(low + more)
+    some = np.flatnonzero(high - low > 1)
+    out[some] = _log_gamma(high[some] + more[some]) - _log_gamma(low[some] + more[some])
+    return out
+
+
+def _walk(n: np.ndarray, house: House, rng: np.random.Generator, places: np.ndarray | None = None, first: np.ndarray | None = None):
+    """``n`` customers of each dish arrive; the tables opened, and the logarithm of what the seating's weight is divided by.
+
+    With ``places``, those of each dish beginning at ``first``, tables are opened there, else as drawn.
+    """
+    d, who = house.discount, np.arange(len(n))
+    events: Events = [(who, np.ones(len(n), np.int64))]
+    divided, lean, started = np.zeros(len(n)), np.ones(len(n)), False
+    i, t = np.ones(len(n), np.int64), np.ones(len(n), np.int64)
+    if places is not None:
+        places = np.append(places, 0)
+        last = np.append(first[1:], len(places) - 1) - first  # tables of each dish
+    while True:
+        going = i < n
+        if not going.all():
+            who, i, t, n, lean, house = who[going], i[going], t[going], n[going], lean[going], house.of(going)
+        if not len(who):
+            return events, divided
+        new = house.new(t)
+        ahead = np.flatnonzero(n > i + 1)  # for the last customer it is one
+        now = lean[ahead]
+        for _ in range(1 if started else LEAN_STEPS):
+            now = _lean(i[ahead] + 1, t[ahead], n[ahead], new[ahead], house.weight[ahead], d, now)
+        lean, started = np.ones(len(who)), True
+        lean[ahead] = now
+        step = np.minimum(i // 2, (i - d * t) / (new * lean + TINY)).astype(np.int64)  # to the next table, on average
+        stage = np.minimum(n, i + np.maximum(1, step))  # the lean holds until there or to the next table
+        far = np.flatnonzero(stage - i > 1)
+        lean[far] = _lean((i[far] + stage[far] + 1) / 2, t[far], n[far], new[far], house.weight[far], d, lean[far])
+        new *= lean
+        if places is None:
+            x = rng.beta(new, i - d * t)
+            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+                gap = np.floor(np.log(1 - rng.random(len(who))) / np.log1p(-x))
+            opens = gap < stage - i
+            high = stage.copy()
+            high[opens] = i[opens] + gap[opens].astype(np.int64) + 1
+        else:
+            due = np.where(t < last[who], places[np.minimum(first[who] + t, len(places) - 1)], n + 1)
+            opens = due <= stage
+            high = np.minimum(stage, due)
+        divided[who] += _log_sums(i, high, new - d * t) - np.where(opens, np.log(lean), 0.0)
+        i, t = high, t + opens
+        if opens.any():
+            events.append((who[opens], high[opens]))
+
+
+def _anew(seats: Seats, house: House, rng: np.random.Generator) -> tuple[Seats, np.ndarray]:
+    """Dishes with all their customers, two or more, seated anew; and which of them took their new seats."""
+    n, t = seats.customers(), seats.tables()
+    events, gain = _walk(n, house, rng)
+    more = n > 2  # all seatings of two are divided by the same
+    if more.any():
+        _, old = _walk(n[more], house.of(more), rng, _places(seats.of(more), rng), (np.cumsum(t[more]) - t[more]))
+        gain[more] -= old
+    takes = ~more | (np.log(1 - rng.random(len(n))) <= gain)
+    events = [(who[takes[who]], at[takes[who]]) for who, at in events]
+    opened = np.bincount(np.concatenate([who for who, _ in events]), minlength=len(n))
+    dish, size = _joined(opened, n.copy(), events, house.discount, rng)
+    kept = ~takes[seats.dish]
+    return _ordered(len(n), np.concatenate([seats.dish[kept], *dish]), np.concatenate([seats.size[kept], *size])), takes
+
+
 def reseat(seats: Seats, house: House, rng: np.random.Generator) -> Seats:
-    """One Gibbs sweep: ``floor(sqrt(customers))`` customers of each dish get up and sit down again, one by one."""
-    d, n, t = house.discount, seats.customers(), seats.tables()
-    moving = np.flatnonzero(n > 1)  # a single customer always has one table
-    if not len(moving):
+    """One sweep: all customers of each dish get up and sit down again."""
+    many = seats.customers() > 1  # a single customer always has one table
+    if not many.any():
         return seats
-    moving = moving[np.argsort(-n[moving], kind="stable")]
-    n, t = n[moving], t[moving]
-    house = house.of(moving)
-    moves = np.sqrt(n).astype(np.int64)
-    slots = t + moves  # a move opens one table at most
-    first = np.cumsum(slots) - slots
-    place = np.full(seats.dishes, -1)
-    place[moving] = np.arange(len(moving))
-    rank = np.arange(len(seats.dish)) - np.searchsorted(seats.dish, seats.dish)
-    mine = place[seats.dish] >= 0
-    flat = np.zeros(int(slots.sum()), np.int64)
-    flat[first[place[seats.dish[mine]]] + rank[mine]] = seats.size[mine]
-    used, start = t.copy(), np.cumsum(n) - n
-    for k in range(int(moves[0])):
-        live = int(np.searchsorted(-moves, -k, "left"))  # those with more than k moves come first
-        f = flat[: int(first[live - 1] + slots[live - 1])]
-        u = rng.random((3, live))
-        seat = np.searchsorted(np.cumsum(f), start[:live] + np.floor(u[0] * n[:live]), "right")
-        f[seat] -= 1
-        t[:live] -= f[seat] == 0
-        stay = n[:live] - 1 - d * t[:live]
-        new = house.of(slice(live)).new(t[:live])
-        opens = u[1] * (stay + new) < new
-        weights = np.cumsum(np.where(f > 0, f - d, 0.0))
-        base = np.concatenate([[0.0], weights])[first[:live]]
-        to = np.searchsorted(weights, base + u[2] * stay, "right")
-        to = np.clip(to, first[:live], first[:live] + used[:live] - 1)
-        for j in np.flatnonzero((f[to] == 0) & ~opens):  # a sum's rounding led beside the table
-            to[j] = first[j] + int(np.flatnonzero(f[first[j] : first[j] + used[j]])[0])
-        to = np.where(opens, first[:live] + used[:live], to)
-        f[to] += 1
-        used[:live] += opens
-        t[:live] += opens
-    kept = flat > 0
-    dish = np.concatenate([seats.dish[~mine], np.repeat(moving, slots)[kept]])
-    return _ordered(seats.dishes, dish, np.concatenate([seats.size[~mine], flat[kept]]))
+    moved, _ = _anew(seats.of(many), house.of(many), rng)
+    kept = ~many[seats.dish]
+    dish = np.concatenate([seats.dish[kept], np.flatnonzero(many)[moved.dish]])
+    return _ordered(seats.dishes, dish, np.concatenate([seats.size[kept], moved.size]))
 
 
 def _ranks(seats: Seats):

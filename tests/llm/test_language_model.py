@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gatewise.llm import common, language_model, posts
-from gatewise.llm.seating import House, Seats, arrive, leave, reseat
+from gatewise.llm.seating import House, Seats, _anew, arrive, leave, reseat
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 SCHEMA = "doc_id long, text string, id string, ids long, kind string, body string, a int"
@@ -283,3 +283,26 @@ def test_bodies_come_back_as_packed():
     for a in (np.empty(0, np.int64), np.arange(5) * 70_000, np.array([1, 2**63 + 5], np.uint64), np.array([True, False]), np.array([[0.5, 1.25]])):
         back = posts.unpack(posts.pack(a))[0]
         assert np.array_equal(a, back) and a.shape == back.shape
+
+
+@pytest.mark.parametrize("weight,tables,discount", [(0.5, 20, 0.7), (0.05, 3, 0.8), (0.9, 3, 0.8), (0.3, 300, 0.6)])
+def test_a_sweep_seats_all_customers_of_large_dishes_anew(weight, tables, discount):
+    n, many, rng = 150, 2000, np.random.default_rng(5)
+    house = House(np.full(many, weight), np.full(many, float(tables)), 1.5, discount)
+    exact = weights(n, house)
+    for sizes in (np.array([n]), np.ones(n, np.int64)):  # all at one table, or each alone
+        seats = Seats(many, np.repeat(np.arange(many), len(sizes)), np.tile(sizes, many))
+        for _ in range(15):
+            seats = reseat(seats, house, rng)
+        assert (seats.customers() == n).all()
+        got = np.bincount(seats.tables(), minlength=n + 1)[1:] / many
+        assert np.abs(np.cumsum(got) - np.cumsum(exact)).max() < 0.05
+
+
+def test_few_new_seatings_are_turned_down():
+    rng = np.random.default_rng(6)
+    for n, weight, tables in ((7, 0.08, 5), (1000, 0.01, 100), (100_000, 0.02, 3000)):
+        house = House(np.full(200, weight), np.full(200, float(tables)), 5.0, 0.7)
+        seats, _ = _anew(arrive(Seats.empty(200), np.full(200, n), house, rng), house, rng)
+        took = np.mean([_anew(seats, house, rng)[1].mean() for _ in range(3)])
+        assert took > 0.6
